@@ -1,0 +1,128 @@
+"""Benchmark decontamination by canonical templates. DataFrame functions only.
+
+A text's template is its sequence of words (runs of letters and digits), lower-cased, in which
+numbers, units after a number and names (capitalised words that begin no sentence) are replaced by
+typed placeholders; what stood there is the word's slot. Benchmark items are cut into windows at every
+word, documents at every ``stride`` words, and the windows meet by hash. Each meeting fixes how item
+and document lie against each other; there the templates are compared word by word over the item's
+whole length. A document is contaminated if a run of at least ``min_run`` equal template words (all
+words, for shorter items) remains whose slots are consistent: one slot value of the item always stands
+against one slot value of the document, and different ones against different ones. So a question with
+other numbers, names or units is caught, and a chance meeting of placeholders is not.
+
+A shared run of ``width + stride - 1`` words always holds one of the document's windows whole, so no
+passage of that length is missed; ``min_run`` must not be below it. Items of fewer than that many words
+are compared with every window of the documents that is as long as the item.
+
+Null or empty texts have no template. Rows with a null id are ignored. Repeated rows give one result
+row. An empty documents or benchmark table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from docloom.llm.common import table, work_dir, written
+
+#: Up to so many benchmark windows (some 20 bytes each) are broadcast; beyond, they are shuffled.
+BROADCAST_WINDOWS = 1_000_000
+#: Units that may follow a number.
+UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours day days week weeks month months year years percent usd eur gbp dollars dollar euros cents mph kmh hz w kw v degrees c f"
+SEP = "\x01"
+
+
+def template(text: Column) -> Column:
+    """An array of words; placeholders are followed by U+0001 and what they stand for."""
+    t = F.regexp_replace(text, "[\x01\x02\x03]", " ")
+    # names: a capital letter then small ones, not at the start of the text, a line or a sentence
+    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "\x02$1")
+    t = F.lower(t)
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", " \x03$1 ")
+    t = F.regexp_replace(t, r"(\x03[^ ]+ [ -]?)(" + "|".join(UNITS.split()) + r"|%)(?![\p{L}\p{N}])", "$1 \x01$2 ")
+    t = F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01\x02\x03%]+|(?<!\x01)%", " "))
+    return F.when(F.coalesce(F.length(t), F.lit(0)) > 0, F.split(t, " +"))
+
+
+def canonical(words: Column) -> Column:
+    """Template words with each slot's value taken away."""
+    kind = lambda w: F.substring(w, 1, 1)
+    return F.transform(words, lambda w: F.when(kind(w).isin("\x01", "\x02", "\x03"), kind(w)).otherwise(w))
+
+
+def opened(words: Column) -> Column:
+    """``canonical`` for a whole item: its first word may be a name only inside a document."""
+    return F.concat(F.transform(F.slice(words, 1, 1), lambda w: F.ltrim(w, F.lit("\x02"))), canonical(F.slice(words, 2, F.size(words))))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride: int = 4, min_run: int = 13, min_literals: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``(doc_id, item_id, at_word, run_words, item_words)``: each contaminated document with each item
+    found in it, at the place of the longest run (of equals, the first).
+
+    A window needs ``min_literals`` words that are no placeholders."""
+    spark = docs.sparkSession
+    base = work_dir(spark)
+    if min_run < width + stride - 1:
+        raise ValueError("min_run must be at least width + stride - 1")
+    literals = lambda a: F.size(F.filter(a, lambda w: ~F.substring(w, 1, 1).isin("\x01", "\x02", "\x03")))
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), template(F.col(item_text)).alias("item"))
+    items = written(items.where("item is not null").dropDuplicates().withColumn("canon", canonical(F.col("item"))), f"{base}/items")
+    long_items, short_items = items.where(F.size("canon") >= width + stride - 1), items.where(F.size("canon") < width + stride - 1)
+
+    at = long_items.select("item_id", "canon", "item", F.explode(F.sequence(F.lit(1), F.size("canon") - width + 1)).alias("b"))
+    windows = at.select("item_id", "item", "b", F.slice("canon", F.col("b"), width).alias("w")).where(literals("w") >= min_literals)
+    windows = windows.select(F.xxhash64("w").alias("h"), "b", "item_id", "item")
+    windows = written(windows, f"{base}/windows")
+    small = windows.count() <= BROADCAST_WINDOWS
+
+    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), template(F.col(text_col)).alias("words"))
+    places = lambda n, step: F.explode(F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1, F.lit(step)))).alias("a")
+    cut = words.select("doc_id", "words", places(width, stride))
+    cut = cut.select("doc_id", "words", "a", F.xxhash64(canonical(F.slice("words", F.col("a"), width))).alias("h"))
+    if small:
+        keys = F.broadcast(windows.groupBy("h").agg(F.collect_list(F.struct("b", "item_id")).alias("at")))
+        met = cut.join(keys, "h").select("doc_id", "words", "a", F.explode("at").alias("x")).select("doc_id", "words", (F.col("a") - F.col("x.b")).alias("shift"), "x.item_id")
+        met = met.join(F.broadcast(items.select("item_id", "item")), "item_id")
+        met = met.select("doc_id", "item_id", "item", "shift", F.slice("words", F.greatest(F.col("shift") + 1, F.lit(1)), F.size("item") + F.least(F.col("shift"), F.lit(0))).alias("part"))
+        met = met.dropDuplicates(["doc_id", "item_id", "shift"])
+    else:
+        pairs = cut.select("doc_id", "a", "h").join(windows.select("h", "b", "item_id"), "h").select("doc_id", (F.col("a") - F.col("b")).alias("shift"), "item_id").distinct()
+        met = words.join(pairs, "doc_id").join(items.select("item_id", "item"), "item_id")
+        met = met.select("doc_id", "item_id", "item", "shift", F.slice("words", F.greatest(F.col("shift") + 1, F.lit(1)), F.size("item") + F.least(F.col("shift"), F.lit(0))).alias("part"))
+
+    # short items: one window as long as the item, at every word of the documents
+    lengths = [r[0] for r in short_items.where(literals("canon") >= min_literals).select(F.size("canon").alias("n")).distinct().collect()]
+    for n in lengths:
+        keys = short_items.where((F.size("canon") == n) & (literals("canon") >= min_literals)).select("item_id", "item", F.xxhash64(opened(F.col("item"))).alias("h"))
+        every = words.select("doc_id", "words", places(n, 1))
+        every = every.select("doc_id", (F.col("a") - 1).alias("shift"), F.slice("words", F.col("a"), n).alias("part"))
+        found = every.withColumn("h", F.xxhash64(opened(F.col("part")))).join(F.broadcast(keys) if small else keys, "h")
+        met = met.unionByName(found.select("doc_id", "item_id", "item", "shift", "part"))
+
+    # word by word: equal template words, then the longest consistent run
+    lined = met.withColumn("from", F.greatest(-F.col("shift"), F.lit(0)))
+    lined = lined.withColumn("mine", F.slice("item", F.col("from") + 1, F.size("part")))
+    pairs = F.zip_with("part", "mine", lambda d, i: F.struct(d.alias("d"), i.alias("i"), F.substring(d, 1, 1).alias("k"), (F.substring(d, 1, 1) == F.substring(i, 1, 1)).alias("same_kind")))
+    slot = lambda c: c.isin("\x01", "\x02", "\x03")
+    lined = lined.withColumn("p", pairs)
+    good = F.transform("p", lambda x: (F.ltrim(x["d"], F.lit("\x02")) == F.ltrim(x["i"], F.lit("\x02"))) | (slot(x["k"]) & x["same_kind"]))
+    lined = lined.withColumn("good", good)
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"), F.lit(0).alias("n"))
+    run = F.aggregate("good", zero, lambda s, g: F.struct(
+        F.when(g, s["now"] + 1).otherwise(0).alias("now"),
+        F.when(g & (s["now"] + 1 > s["best"]), s["now"] + 1).otherwise(s["best"]).alias("best"),
+        F.when(g & (s["now"] + 1 > s["best"]), s["n"] + 1).otherwise(s["end"]).alias("end"),
+        (s["n"] + 1).alias("n")))
+    lined = lined.withColumn("run", run).where(F.col("run.best") >= F.least(F.lit(min_run), F.size("item")))
+    inside = F.filter(F.slice("p", F.col("run.end") - F.col("run.best") + 1, F.col("run.best")), lambda x: slot(x["k"]))
+    lined = lined.withColumn("slots", F.array_distinct(F.transform(inside, lambda x: F.concat(F.ltrim(x["i"], F.lit("\x02")), F.lit("\x04"), F.ltrim(x["d"], F.lit("\x02"))))))
+    one_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.substring_index(s, "\x04", 1)))) == F.size("slots")
+    other_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.substring_index(s, "\x04", -1)))) == F.size("slots")
+    kept = lined.where(one_way & other_way & (literals(F.slice("mine", F.col("run.end") - F.col("run.best") + 1, F.col("run.best"))) >= min_literals))
+    found = kept.select("doc_id", "item_id", (F.col("shift") + F.col("from") + F.col("run.end") - F.col("run.best")).cast("long").alias("at_word"), F.col("run.best").cast("long").alias("run_words"), F.size("item").cast("long").alias("item_words"))
+    best = F.max(F.struct("run_words", (-F.col("at_word")).alias("at"), "item_words")).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.at")).alias("at_word"), F.col("m.run_words").alias("run_words"), F.col("m.item_words").alias("item_words"))
+
+
+def op1_template_decontamination(spark, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
