@@ -29,30 +29,32 @@ from docloom.llm.common import table, work_dir, written
 BROADCAST_WINDOWS = 1_000_000
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours day days week weeks month months year years percent usd eur gbp dollars dollar euros cents mph kmh hz w kw v degrees c f"
-SEP = "\x01"
 
 
 def template(text: Column) -> Column:
-    """An array of words; placeholders are followed by U+0001 and what they stand for."""
+    """The template's words, joined by spaces; a placeholder is a control character (U+0001 unit,
+    U+0002 name, U+0003 number) followed by what it stands for."""
     t = F.regexp_replace(text, "[\x01\x02\x03]", " ")
     # names: a capital letter then small ones, not at the start of the text, a line or a sentence
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "\x02$1")
     t = F.lower(t)
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", " \x03$1 ")
     t = F.regexp_replace(t, r"(\x03[^ ]+ [ -]?)(" + "|".join(UNITS.split()) + r"|%)(?![\p{L}\p{N}])", "$1 \x01$2 ")
-    t = F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01\x02\x03%]+|(?<!\x01)%", " "))
+    return F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01\x02\x03%]+|(?<!\x01)%", " "))
+
+
+def words_of(t: Column) -> Column:
     return F.when(F.coalesce(F.length(t), F.lit(0)) > 0, F.split(t, " +"))
 
 
-def canonical(words: Column) -> Column:
-    """Template words with each slot's value taken away."""
-    kind = lambda w: F.substring(w, 1, 1)
-    return F.transform(words, lambda w: F.when(kind(w).isin("\x01", "\x02", "\x03"), kind(w)).otherwise(w))
+def canonical(t: Column) -> Column:
+    """A template's words with each slot's value taken away."""
+    return words_of(F.regexp_replace(t, "([\x01\x02\x03])[^ ]*", "$1"))
 
 
-def opened(words: Column) -> Column:
-    """``canonical`` for a whole item: its first word may be a name only inside a document."""
-    return F.concat(F.transform(F.slice(words, 1, 1), lambda w: F.ltrim(w, F.lit("\x02"))), canonical(F.slice(words, 2, F.size(words))))
+def opened(words: Column, canon: Column, at: Column, n: Column) -> Column:
+    """``n`` canonical words from ``at``, for a whole item: its first word may be a name only inside a document."""
+    return F.concat(F.array(F.ltrim(F.get(words, at - 1), F.lit("\x02"))), F.slice(canon, at + 1, n - 1))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride: int = 4, min_run: int = 13, min_literals: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -65,39 +67,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     if min_run < width + stride - 1:
         raise ValueError("min_run must be at least width + stride - 1")
     literals = lambda a: F.size(F.filter(a, lambda w: ~F.substring(w, 1, 1).isin("\x01", "\x02", "\x03")))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), template(F.col(item_text)).alias("item"))
-    items = written(items.where("item is not null").dropDuplicates().withColumn("canon", canonical(F.col("item"))), f"{base}/items")
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), template(F.col(item_text)).alias("t"))
+    items = items.select("item_id", words_of(F.col("t")).alias("item"), canonical(F.col("t")).alias("canon"))
+    items = written(items.where("item is not null").dropDuplicates(), f"{base}/items")
     long_items, short_items = items.where(F.size("canon") >= width + stride - 1), items.where(F.size("canon") < width + stride - 1)
 
-    at = long_items.select("item_id", "canon", "item", F.explode(F.sequence(F.lit(1), F.size("canon") - width + 1)).alias("b"))
-    windows = at.select("item_id", "item", "b", F.slice("canon", F.col("b"), width).alias("w")).where(literals("w") >= min_literals)
-    windows = windows.select(F.xxhash64("w").alias("h"), "b", "item_id", "item")
-    windows = written(windows, f"{base}/windows")
+    at = long_items.select("item_id", "canon", F.explode(F.sequence(F.lit(1), F.size("canon") - width + 1)).alias("b"))
+    windows = at.select("item_id", "b", F.slice("canon", F.col("b"), width).alias("w")).where(literals("w") >= min_literals)
+    windows = written(windows.select(F.xxhash64("w").alias("h"), "b", "item_id"), f"{base}/windows")
     small = windows.count() <= BROADCAST_WINDOWS
 
-    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), template(F.col(text_col)).alias("words"))
-    places = lambda n, step: F.explode(F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1, F.lit(step)))).alias("a")
-    cut = words.select("doc_id", "words", places(width, stride))
-    cut = cut.select("doc_id", "words", "a", F.xxhash64(canonical(F.slice("words", F.col("a"), width))).alias("h"))
+    # no function with a lambda up to the join: the template stays in place while its windows pass
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), template(F.col(text_col)).alias("t"))
+    texts = texts.select("doc_id", "t", canonical(F.col("t")).alias("canon"))
+    places = lambda n, step: F.explode(F.when(F.size("canon") >= n, F.sequence(F.lit(1), F.size("canon") - n + 1, F.lit(step)))).alias("a")
+    cut = texts.select("doc_id", "t", "canon", places(width, stride)).select("doc_id", "t", "a", F.xxhash64(F.slice("canon", F.col("a"), width)).alias("h"))
     if small:
         keys = F.broadcast(windows.groupBy("h").agg(F.collect_list(F.struct("b", "item_id")).alias("at")))
-        met = cut.join(keys, "h").select("doc_id", "words", "a", F.explode("at").alias("x")).select("doc_id", "words", (F.col("a") - F.col("x.b")).alias("shift"), "x.item_id")
+        met = cut.join(keys, "h").select("doc_id", "t", "a", F.explode("at").alias("x")).select("doc_id", "t", (F.col("a") - F.col("x.b")).alias("shift"), "x.item_id")
         met = met.join(F.broadcast(items.select("item_id", "item")), "item_id")
-        met = met.select("doc_id", "item_id", "item", "shift", F.slice("words", F.greatest(F.col("shift") + 1, F.lit(1)), F.size("item") + F.least(F.col("shift"), F.lit(0))).alias("part"))
-        met = met.dropDuplicates(["doc_id", "item_id", "shift"])
     else:
-        pairs = cut.select("doc_id", "a", "h").join(windows.select("h", "b", "item_id"), "h").select("doc_id", (F.col("a") - F.col("b")).alias("shift"), "item_id").distinct()
-        met = words.join(pairs, "doc_id").join(items.select("item_id", "item"), "item_id")
-        met = met.select("doc_id", "item_id", "item", "shift", F.slice("words", F.greatest(F.col("shift") + 1, F.lit(1)), F.size("item") + F.least(F.col("shift"), F.lit(0))).alias("part"))
+        pairs = cut.select("doc_id", "a", "h").join(windows, "h").select("doc_id", (F.col("a") - F.col("b")).alias("shift"), "item_id").distinct()
+        met = texts.select("doc_id", "t").join(pairs, "doc_id").join(items.select("item_id", "item"), "item_id")
+    shift = F.col("shift")
+    met = met.select("doc_id", "item_id", "item", "shift", F.slice(words_of(F.col("t")), F.greatest(shift + 1, F.lit(1)), F.size("item") + F.least(shift, F.lit(0))).alias("part"))
+    met = met.dropDuplicates(["doc_id", "item_id", "shift"])
 
     # short items: one window as long as the item, at every word of the documents
-    lengths = [r[0] for r in short_items.where(literals("canon") >= min_literals).select(F.size("canon").alias("n")).distinct().collect()]
-    for n in lengths:
-        keys = short_items.where((F.size("canon") == n) & (literals("canon") >= min_literals)).select("item_id", "item", F.xxhash64(opened(F.col("item"))).alias("h"))
-        every = words.select("doc_id", "words", places(n, 1))
-        every = every.select("doc_id", (F.col("a") - 1).alias("shift"), F.slice("words", F.col("a"), n).alias("part"))
-        found = every.withColumn("h", F.xxhash64(opened(F.col("part")))).join(F.broadcast(keys) if small else keys, "h")
-        met = met.unionByName(found.select("doc_id", "item_id", "item", "shift", "part"))
+    usable = short_items.where(literals("canon") >= min_literals)
+    for n in [r[0] for r in usable.select(F.size("canon").alias("n")).distinct().collect()]:
+        keys = usable.where(F.size("canon") == n).select("item_id", "item", F.xxhash64(opened(F.col("item"), F.col("canon"), F.lit(1), F.lit(n))).alias("h"))
+        every = texts.select("doc_id", "canon", words_of(F.col("t")).alias("words")).select("doc_id", "canon", "words", places(n, 1))
+        every = every.select("doc_id", (F.col("a") - 1).alias("shift"), F.slice("words", F.col("a"), n).alias("part"), F.xxhash64(opened(F.col("words"), F.col("canon"), F.col("a"), F.lit(n))).alias("h"))
+        met = met.unionByName(every.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "item", "shift", "part"))
 
     # word by word: equal template words, then the longest consistent run
     lined = met.withColumn("from", F.greatest(-F.col("shift"), F.lit(0)))
