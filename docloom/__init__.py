@@ -1,0 +1 @@
+"""A PySpark engine for document corpora: cleaning, chunking, retrieval and its bookkeeping."""
