@@ -11,6 +11,10 @@
 4. Then only postings that still hold more than one component are merged, and there only pairs from
    different components: a large family costs one pair a member, not all its pairs.
 
+Pairs must also pass an exact test on a parity sketch (bit i tells whether an odd number of the set's
+hashes end in i): sketches differ in no more bits than the sets differ in shingles, so a pair whose
+sketches differ in more than the similarity allows cannot be a link. No link is lost by it.
+
 Two sets of similarity 0.8 agree in fewer than 16 of 32 coordinates with a chance below 4 in 100,000.
 
 Null and blank texts have an empty set and are linked with nothing. Rows with a null id are returned
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import remove, table, work_dir, written
 
 COORDINATES, MATCHES = 32, 16
+#: Bits of the parity sketch, kept as 64-bit numbers.
+SKETCH_BITS = 1024
 #: Up to so many candidate ids (8 bytes each) are broadcast; beyond, they are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -100,7 +106,9 @@ def _signatures(width: int):
                 b = [int(mix(s + _PERM[201]).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
                 # a coordinate's value is salted by its place, so the value alone names the pair
                 sig = [mix((s[None, :] * perm).min(axis=1) + salt).astype(np.int64) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                odd = [(np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8) for s in sets]
+                odd = [np.packbits(x).view(np.int64) for x in odd]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "odd"])
 
     return run
 
@@ -160,9 +168,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     with an equal set, itself included)."""
     spark, base = docs.sparkSession, work_dir(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = written(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>"), f"{base}/sigs")
+    sigs = written(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, odd array<long>"), f"{base}/sigs")
     whole = sigs.where("doc_id is not null and n_shingles > 0")
-    classes = written(whole.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), f"{base}/classes")
+    classes = written(whole.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("odd").alias("odd")), f"{base}/classes")
 
     posts = classes.select("rep", F.explode("sig").alias("key"))
     common = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
@@ -170,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     met = met.where(F.size("keys") >= MATCHES).select("rep", F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("shared"), F.slice("keys", 1, F.size("keys") - (MATCHES - 1)).alias("keys"))
     prefix = written(met.select("rep", "shared", F.explode("keys.key").alias("key")), f"{base}/prefix")
     centres = prefix.groupBy("key").agg(F.max(F.struct("shared", (-F.col("rep")).alias("id"))).alias("c")).select("key", (-F.col("c.id")).alias("centre"))
-    by_rep = classes.select("rep", "n_shingles", "sig")
+    by_rep = classes.select("rep", "n_shingles", "sig", "odd")
 
     def agreeing(x: str, y: str):
         return F.size(F.array_intersect(x, y)) >= MATCHES  # values are salted by place
@@ -178,6 +186,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def sized(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
+    def close(x: str, y: str, nx: str, ny: str):
+        # sets of that similarity differ in at most (100 - percent) / (100 + percent) of both sizes
+        apart = sum(F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(SKETCH_BITS // 64))
+        return apart * (100 + percent) <= (F.col(nx) + F.col(ny)) * (100 - percent)
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs, f"{base}/{name}-pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -191,9 +204,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return links
 
     star = prefix.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    star = (star.join(by_rep.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
-            .join(by_rep.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
-            .where(sized("na", "nb") & agreeing("sa", "sb")).select("a", "b"))
+    star = (star.join(by_rep.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.col("odd").alias("oa")), "a")
+            .join(by_rep.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), F.col("odd").alias("ob")), "b")
+            .where(sized("na", "nb") & close("oa", "ob", "na", "nb") & agreeing("sa", "sb")).select("a", "b"))
     links = confirmed(star, "star")
     roots = components(links, f"{base}/star-roots")
 
@@ -202,9 +215,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rest = written(placed.join(open_keys, "key").join(centres, "key").join(by_rep, "rep"), f"{base}/rest")
     hub = rest.where("rep = centre").select("key", F.col("root").alias("hub"))
     rest = rest.join(hub, "key")
-    x = rest.where("root <> hub").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    y = rest.where("rep <> centre").select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), (F.col("root") == F.col("hub")).alias("of_hub"))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("ra") != F.col("rb")) & (F.col("of_hub") | (F.col("a") < F.col("b"))) & sized("na", "nb") & agreeing("sa", "sb"))
+    x = rest.where("root <> hub").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.col("odd").alias("oa"))
+    y = rest.where("rep <> centre").select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), F.col("odd").alias("ob"), (F.col("root") == F.col("hub")).alias("of_hub"))
+    cross = x.join(y, (x["key"] == y["key"]) & (F.col("ra") != F.col("rb")) & (F.col("of_hub") | (F.col("a") < F.col("b"))) & sized("na", "nb") & close("oa", "ob", "na", "nb") & agreeing("sa", "sb"))
     more = confirmed(cross.select("a", "b").distinct(), "cross")
     roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), f"{base}/roots"), f"{base}/final")
     for name in ("star-roots", "roots", "rest", "prefix"):
