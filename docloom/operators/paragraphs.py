@@ -104,9 +104,9 @@ def chunks(paras: DataFrame, group: str, order: str, page: str, most: int = 800,
 
     kind = paras.schema[group].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        rows = fold_paragraphs(list(zip(pdf[page], pdf["text"], pdf["is_heading"])), most, compat=compat)
+    def run(key, pdf):
+        pdf = pdf.sort_values("place")
+        rows = fold_paragraphs(list(zip(pdf["page"], pdf["text"], pdf["is_heading"])), most, compat=compat)
         return pd.DataFrame([{group: key[0], "chunk": i} | r for i, r in enumerate(rows)], columns=[group, "chunk", "text", "page_start", "page_end", "tokens_est"])
 
-    return tagged(paras).select(group, order, F.col(page).cast("long").alias(page), "text", "is_heading").groupBy(group).applyInPandas(run, f"{group} {kind}, chunk long, text string, page_start long, page_end long, tokens_est long")
+    return tagged(paras).select(group, F.col(order).alias("place"), F.col(page).cast("long").alias("page"), "text", "is_heading").groupBy(group).applyInPandas(run, f"{group} {kind}, chunk long, text string, page_start long, page_end long, tokens_est long")
