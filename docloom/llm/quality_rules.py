@@ -149,5 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label_col: s
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit(docs, table(spark, sf_dir, "labels"))
-    rows = statistics(docs).withColumn("base_failed", base_failed())
+    # written: a filter on the result would be pushed into the statistics and compute them many times over
+    rows = written(statistics(docs), f"{work_dir(spark)}/statistics").withColumn("base_failed", base_failed())
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
