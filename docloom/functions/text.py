@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ NATIONAL_ID = r"\b\d{13}\b"
 
 def nfc(text: Column) -> Column:
     """NFC where a text has combining marks; an Arrow UDF, for Spark has no such function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")

@@ -57,6 +57,20 @@ def match_all(questions: DataFrame, docs: DataFrame, query_id: str = "item_id",
     return hits.groupBy(query_id, id_col).agg(F.count("*").alias("n")).join(bounded(sizes), query_id).where("n = n_terms").select(query_id, id_col)
 
 
+def match_boolean(questions: DataFrame, docs: DataFrame, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
+    """Documents by ``questions(query, every, any, none)``, arrays of terms: all of ``every``, one of
+    ``any`` if it has terms, and none of ``none``. A query without terms in the first two finds nothing."""
+    terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+    tagged = lambda c: F.transform(F.array_distinct(F.transform(F.coalesce(F.col(c), F.array()), F.lower)), lambda w: F.struct(F.lit(c).alias("part"), w.alias("term")))
+    parts = [tagged(c) for c in ("every", "any", "none")]
+    asked = questions.select(query_id, F.explode(F.concat(*parts)).alias("x")).select(query_id, "x.part", "x.term")
+    sizes = asked.groupBy(query_id).agg(F.count_if(F.col("part") == "every").alias("n_every"), F.count_if(F.col("part") == "any").alias("n_any"))
+    hits = docs.select(id_col, F.explode(terms(F.col("text"))).alias("term")).join(bounded(asked, 200_000), "term")
+    found = hits.groupBy(query_id, id_col).agg(*[F.count_if(F.col("part") == c).alias(c) for c in ("every", "any", "none")])
+    good = (F.col("every") == F.col("n_every")) & ((F.col("any") > 0) | (F.col("n_any") == 0)) & (F.col("none") == 0) & (F.col("n_every") + F.col("n_any") > 0)
+    return found.join(bounded(sizes), query_id).where(good).select(query_id, id_col)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

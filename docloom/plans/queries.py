@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from docloom.functions import quality as Q
 from docloom.functions import text as T
+from docloom.operators import pages as G
 from docloom.operators import paragraphs as P
 from docloom.operators import retrieval as R
 from docloom.operators import store as S
@@ -237,6 +238,28 @@ q as (select item_id, term, count(*) as times from (select item_id, unnest({TOK}
 sc as (select item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join tf using (term) join idf using (term) join dl using (doc_id), st group by item_id, doc_id)"""
 
 
+WORDS = TERMS.format("text")
+IN_ORDER = WORDS.removeprefix("list_distinct")  # list_distinct keeps no order
+
+
+@query(f"""with q as (select item_id, {IN_ORDER} as x from benchmark), dd as (select doc_id, {WORDS} as y from documents)
+select item_id, doc_id from q, dd where len(x) >= 6 and list_contains(y, x[1]) and list_has_any(y, x[2:5]) and not list_contains(y, x[6])""")
+def fts_match_boolean(spark, d):
+    x = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    q = t(spark, d, "benchmark").select("item_id", x.alias("x")).where(F.size("x") >= 6)
+    q = q.select("item_id", F.slice("x", 1, 1).alias("every"), F.slice("x", 2, 4).alias("any"), F.slice("x", 6, 1).alias("none"))
+    return R.match_boolean(q, t(spark, d, "documents"))
+
+
+@query()
+def page_fallback(spark, d):
+    """Pages with every fifth text layer missing, and two OCR texts: one noisy, one cut."""
+    docs = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("whole"))
+    pages = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("whole")).alias("text"), F.lit("text layer").alias("method"))
+    ocr = docs.where("doc_id % 5 = 0").select("doc_id", F.translate("whole", "aeo", "#%~").alias("first"), F.when(F.col("doc_id") % 2 == 0, F.col("whole")).alias("second"))
+    return G.with_fallback(pages, ocr, ["doc_id"]).select("doc_id", "method", F.sha1("text").alias("digest"))
+
+
 @query(f"with {BM} select term, df, round(idf, 6) as idf from idf")
 def bm25_index_stats(spark, d):
     docs = t(spark, d, "documents")
