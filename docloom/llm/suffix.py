@@ -162,7 +162,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 12, id_col:
     suffixes = docs.mapInArrow(_anchors(k, w), "doc_id long, pos long, anchor long").join(aside, "doc_id", "left_anti")
     suffixes = written(suffixes, f"{base}/suffixes")
     often = suffixes.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
-    wanted = suffixes.join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("found"))
+    # as a table of its own it is broadcast while small; beyond, both sides are plain shuffles, of which AQE splits a hot anchor
+    often = written(often, f"{base}/often")
+    wanted = suffixes.join(F.broadcast(often) if often.count() <= BROADCAST_IDS else often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("found"))
     wanted = written(wanted, f"{base}/wanted")
     ids = wanted.select("doc_id")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
