@@ -5,10 +5,14 @@ numbers, units after a number and names (capitalised words that begin no sentenc
 typed placeholders; what stood there is the word's slot. Benchmark items are cut into windows at every
 word, documents at every ``stride`` words, and the windows meet by hash. Each meeting fixes how item
 and document lie against each other; there the templates are compared word by word over the item's
-whole length. A document is contaminated if a run of at least ``min_run`` equal template words (all
-words, for shorter items) remains whose slots are consistent: one slot value of the item always stands
-against one slot value of the document, and different ones against different ones. So a question with
-other numbers, names or units is caught, and a chance meeting of placeholders is not.
+whole length. A document is contaminated if a stretch of at least ``min_run`` equal template words (all
+words, for shorter items) has consistent slots: one slot value of the item always stands against one
+slot value of the document, and different ones against different ones. Every consistent stretch counts,
+also one that is a part of a longer run whose slots contradict each other. So a question with other
+numbers, names or units is caught, and a chance meeting of placeholders is not.
+
+A capitalised word that begins a sentence may be a name or not. It equals the same word, and is a name
+slot against a name or another such word; windows that hold some meet in each of these readings.
 
 A shared run of ``width + stride - 1`` words always holds one of the document's windows whole, so no
 passage of that length is missed; ``min_run`` must not be below it. Items of fewer than that many words
@@ -20,6 +24,8 @@ row. An empty documents or benchmark table gives an empty result; other columns
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +39,39 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours
 
 def template(text: Column) -> Column:
     """The template's words, joined by spaces; a placeholder is a control character (U+0001 unit,
-    U+0002 name, U+0003 number) followed by what it stands for."""
-    t = F.regexp_replace(text, "[\x01\x02\x03]", " ")
+    U+0002 name, U+0003 number) followed by what it stands for. U+0005 marks a capitalised word that may be a name."""
+    t = F.regexp_replace(text, "[\x01\x02\x03\x05]", " ")
     # names: a capital letter then small ones, not at the start of the text, a line or a sentence
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "\x02$1")
-    t = F.lower(t)
+    t = F.regexp_replace(t, r"(\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+)(?![\p{L}\p{N}])", "\x05$1")
+    t = F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\x05", "\x02"))
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", " \x03$1 ")
-    t = F.regexp_replace(t, r"(\x03[^ ]+ [ -]?)(" + "|".join(UNITS.split()) + r"|%)(?![\p{L}\p{N}])", "$1 \x01$2 ")
-    return F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01\x02\x03%]+|(?<!\x01)%", " "))
+    t = F.regexp_replace(t, r"(\x03[^ ]+ [ -]?)\x05?(" + "|".join(UNITS.split()) + r"|%)(?![\p{L}\p{N}])", "$1 \x01$2 ")
+    return F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01\x02\x03\x05%]+|(?<!\x01)%", " "))
 
 
 def words_of(t: Column) -> Column:
     return F.when(F.coalesce(F.length(t), F.lit(0)) > 0, F.split(t, " +"))
 
 
-def canonical(t: Column) -> Column:
-    """A template's words with each slot's value taken away."""
-    return words_of(F.regexp_replace(t, "([\x01\x02\x03])[^ ]*", "$1"))
+def canonical(t: Column, opens: str = "") -> Column:
+    """A template's words with each slot's value taken away; words that may be names stay, or become names by ``opens``."""
+    return words_of(F.regexp_replace(F.translate(t, "\x05", opens), "([\x01\x02\x03])[^ ]*", "$1"))
 
 
 def opened(words: Column, canon: Column, at: Column, n: Column) -> Column:
     """``n`` canonical words from ``at``, for a whole item: its first word may be a name only inside a document."""
-    return F.concat(F.array(F.ltrim(F.get(words, at - 1), F.lit("\x02"))), F.slice(canon, at + 1, n - 1))
+    return F.concat(F.array(F.ltrim(F.get(words, at - 1), F.lit("\x02\x05"))), F.slice(canon, at + 1, n - 1))
+
+
+def differing(plain: Column, named: Column, n: int) -> Column:
+    """The readings of ``n`` words, as bit masks: each subset of the words that ``named`` has otherwise."""
+    bits = sum(F.when(F.get(plain, F.lit(i)) != F.get(named, F.lit(i)), 1 << i).otherwise(0) for i in range(n))
+    subsets = json.dumps([[m for m in range(whole + 1) if m & whole == m] for whole in range(1 << n)])
+    return F.get(F.from_json(F.lit(subsets), "array<array<int>>"), bits)
+
+
+def reading(plain: Column, named: Column, mask: Column, n: int) -> Column:
+    return F.array(*[F.get(F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, named).otherwise(plain), F.lit(i)) for i in range(n)])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride: int = 4, min_run: int = 13, min_literals: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -68,20 +85,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
         raise ValueError("min_run must be at least width + stride - 1")
     literals = lambda a: F.size(F.filter(a, lambda w: ~F.substring(w, 1, 1).isin("\x01", "\x02", "\x03")))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), template(F.col(item_text)).alias("t"))
-    items = items.select("item_id", words_of(F.col("t")).alias("item"), canonical(F.col("t")).alias("canon"))
+    items = items.select("item_id", words_of(F.col("t")).alias("item"), canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
     items = written(items.where("item is not null").dropDuplicates(), f"{base}/items")
     long_items, short_items = items.where(F.size("canon") >= width + stride - 1), items.where(F.size("canon") < width + stride - 1)
 
-    at = long_items.select("item_id", "canon", F.explode(F.sequence(F.lit(1), F.size("canon") - width + 1)).alias("b"))
-    windows = at.select("item_id", "b", F.slice("canon", F.col("b"), width).alias("w")).where(literals("w") >= min_literals)
-    windows = written(windows.select(F.xxhash64("w").alias("h"), "b", "item_id"), f"{base}/windows")
+    at = long_items.select("item_id", "canon", "named", F.explode(F.sequence(F.lit(1), F.size("canon") - width + 1)).alias("b"))
+    readings = lambda df, n, *keep: df.select(*keep, "plain", "other", F.explode(differing(F.col("plain"), F.col("other"), n)).alias("mask")).select(*keep, reading(F.col("plain"), F.col("other"), F.col("mask"), n).alias("w"))
+    windows = readings(at.select("item_id", "b", F.slice("canon", F.col("b"), width).alias("plain"), F.slice("named", F.col("b"), width).alias("other")), width, "item_id", "b").where(literals("w") >= min_literals)
+    windows = written(windows.select(F.xxhash64("w").alias("h"), "b", "item_id").distinct(), f"{base}/windows")
     small = windows.count() <= BROADCAST_WINDOWS
 
     # no function with a lambda up to the join: the template stays in place while its windows pass
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), template(F.col(text_col)).alias("t"))
-    texts = texts.select("doc_id", "t", canonical(F.col("t")).alias("canon"))
+    texts = texts.select("doc_id", "t", canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
     places = lambda n, step: F.explode(F.when(F.size("canon") >= n, F.sequence(F.lit(1), F.size("canon") - n + 1, F.lit(step)))).alias("a")
-    cut = texts.select("doc_id", "t", "canon", places(width, stride)).select("doc_id", "t", "a", F.xxhash64(F.slice("canon", F.col("a"), width)).alias("h"))
+    cut = texts.select("doc_id", "t", "canon", "named", places(width, stride)).select("doc_id", "t", "a", F.slice("canon", F.col("a"), width).alias("plain"), F.slice("named", F.col("a"), width).alias("other"))
+    cut = readings(cut, width, "doc_id", "t", "a").select("doc_id", "t", "a", F.xxhash64("w").alias("h"))
     if small:
         keys = F.broadcast(windows.groupBy("h").agg(F.collect_list(F.struct("b", "item_id")).alias("at")))
         met = cut.join(keys, "h").select("doc_id", "t", "a", F.explode("at").alias("x")).select("doc_id", "t", (F.col("a") - F.col("x.b")).alias("shift"), "x.item_id")
@@ -96,31 +115,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     # short items: one window as long as the item, at every word of the documents
     usable = short_items.where(literals("canon") >= min_literals)
     for n in [r[0] for r in usable.select(F.size("canon").alias("n")).distinct().collect()]:
-        keys = usable.where(F.size("canon") == n).select("item_id", "item", F.xxhash64(opened(F.col("item"), F.col("canon"), F.lit(1), F.lit(n))).alias("h"))
-        every = texts.select("doc_id", "canon", words_of(F.col("t")).alias("words")).select("doc_id", "canon", "words", places(n, 1))
-        every = every.select("doc_id", (F.col("a") - 1).alias("shift"), F.slice("words", F.col("a"), n).alias("part"), F.xxhash64(opened(F.col("words"), F.col("canon"), F.col("a"), F.lit(n))).alias("h"))
+        keys = usable.where(F.size("canon") == n).select("item_id", "item", opened(F.col("item"), F.col("canon"), F.lit(1), F.lit(n)).alias("plain"), F.col("named").alias("other"))
+        keys = readings(keys, n, "item_id", "item").select("item_id", "item", F.xxhash64("w").alias("h"))
+        every = texts.select("doc_id", "canon", "named", words_of(F.col("t")).alias("words")).select("doc_id", "canon", "named", "words", places(n, 1))
+        every = every.select("doc_id", (F.col("a") - 1).alias("shift"), F.slice("words", F.col("a"), n).alias("part"), opened(F.col("words"), F.col("canon"), F.col("a"), F.lit(n)).alias("plain"), F.slice("named", F.col("a"), n).alias("other"))
+        every = readings(every, n, "doc_id", "shift", "part").select("doc_id", "shift", "part", F.xxhash64("w").alias("h"))
         met = met.unionByName(every.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "item", "shift", "part"))
 
-    # word by word: equal template words, then the longest consistent run
+    # word by word: equal template words, and among them the longest consistent stretch
     lined = met.withColumn("from", F.greatest(-F.col("shift"), F.lit(0)))
     lined = lined.withColumn("mine", F.slice("item", F.col("from") + 1, F.size("part")))
-    pairs = F.zip_with("part", "mine", lambda d, i: F.struct(d.alias("d"), i.alias("i"), F.substring(d, 1, 1).alias("k"), (F.substring(d, 1, 1) == F.substring(i, 1, 1)).alias("same_kind")))
+    bare = lambda c: F.ltrim(c, F.lit("\x02\x05"))
+    pairs = F.zip_with("part", "mine", lambda d, i: F.struct(bare(d).alias("d"), bare(i).alias("i"), F.substring(d, 1, 1).alias("k"), F.substring(i, 1, 1).alias("l")))
     slot = lambda c: c.isin("\x01", "\x02", "\x03")
+    names = lambda x: x["k"].isin("\x02", "\x05") & x["l"].isin("\x02", "\x05")
     lined = lined.withColumn("p", pairs)
-    good = F.transform("p", lambda x: (F.ltrim(x["d"], F.lit("\x02")) == F.ltrim(x["i"], F.lit("\x02"))) | (slot(x["k"]) & x["same_kind"]))
-    lined = lined.withColumn("good", good)
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"), F.lit(0).alias("n"))
+    lined = lined.withColumn("good", F.transform("p", lambda x: (x["d"] == x["i"]) | (slot(x["k"]) & (x["k"] == x["l"])) | names(x)))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
     run = F.aggregate("good", zero, lambda s, g: F.struct(
         F.when(g, s["now"] + 1).otherwise(0).alias("now"),
-        F.when(g & (s["now"] + 1 > s["best"]), s["now"] + 1).otherwise(s["best"]).alias("best"),
-        F.when(g & (s["now"] + 1 > s["best"]), s["n"] + 1).otherwise(s["end"]).alias("end"),
-        (s["n"] + 1).alias("n")))
-    lined = lined.withColumn("run", run).where(F.col("run.best") >= F.least(F.lit(min_run), F.size("item")))
-    inside = F.filter(F.slice("p", F.col("run.end") - F.col("run.best") + 1, F.col("run.best")), lambda x: slot(x["k"]))
-    lined = lined.withColumn("slots", F.array_distinct(F.transform(inside, lambda x: F.concat(F.ltrim(x["i"], F.lit("\x02")), F.lit("\x04"), F.ltrim(x["d"], F.lit("\x02"))))))
-    one_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.substring_index(s, "\x04", 1)))) == F.size("slots")
-    other_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.substring_index(s, "\x04", -1)))) == F.size("slots")
-    kept = lined.where(one_way & other_way & (literals(F.slice("mine", F.col("run.end") - F.col("run.best") + 1, F.col("run.best"))) >= min_literals))
+        F.when(g, F.greatest(s["now"] + 1, s["best"])).otherwise(s["best"]).alias("best")), lambda s: s["best"])
+    least = F.least(F.lit(min_run), F.size("item"))
+    lined = lined.where(run >= least)
+    bound = lambda x: slot(x["k"]) | (names(x) & (x["d"] != x["i"]))  # noqa: E731  # a word pair that enters the mapping
+    lined = lined.withColumn("p", F.zip_with("p", "good", lambda x, g: F.struct(
+        x["d"].alias("d"), x["i"].alias("i"), g.alias("good"), (g & bound(x)).alias("slot"), (g & ~slot(x["l"]) & ~bound(x)).alias("literal"))))
+    # the stretch [start, n] that ends at each word; a contradiction with an earlier slot moves the start behind that
+    zero = F.struct(F.lit(1).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("literals"), F.array().cast("array<struct<i:string,d:string,at:int>>").alias("seen"), F.lit(0).alias("best"), F.lit(0).alias("end"))
+
+    def better(s: Column) -> list[Column]:
+        more = (s["n"] - s["start"] + 1 > s["best"]) & (s["literals"] >= min_literals)
+        return [F.when(more, s["n"] - s["start"] + 1).otherwise(s["best"]).alias("best"), F.when(more, s["n"]).otherwise(s["end"]).alias("end")]
+
+    def step(s: Column, x: Column) -> Column:
+        against = F.array_max(F.transform(F.filter(s["seen"], lambda y: (y["i"] == x["i"]) != (y["d"] == x["d"])), lambda y: y["at"]))
+        start = F.greatest(s["start"], F.when(~x["good"], s["n"] + 2).when(x["slot"], against + 1))
+        now = F.when(x["slot"], F.concat(s["seen"], F.array(F.struct(x["i"].alias("i"), x["d"].alias("d"), (s["n"] + 1).alias("at"))))).otherwise(s["seen"])
+        left = F.size(F.filter(F.slice("p", s["start"], start - s["start"]), lambda y: y["literal"]))
+        return F.struct(start.alias("start"), (s["n"] + 1).alias("n"), (s["literals"] + x["literal"].cast("int") - left).alias("literals"), F.filter(now, lambda y: y["at"] >= start).alias("seen"), *better(s))
+
+    lined = lined.withColumn("run", F.aggregate("p", zero, step, lambda s: F.struct(*better(s))))
+    kept = lined.where(F.col("run.best") >= least)
     found = kept.select("doc_id", "item_id", (F.col("shift") + F.col("from") + F.col("run.end") - F.col("run.best")).cast("long").alias("at_word"), F.col("run.best").cast("long").alias("run_words"), F.size("item").cast("long").alias("item_words"))
     best = F.max(F.struct("run_words", (-F.col("at_word")).alias("at"), "item_words")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.at")).alias("at_word"), F.col("m.run_words").alias("run_words"), F.col("m.item_words").alias("item_words"))

@@ -255,6 +255,23 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_stretches(spark):
+    name = QUESTION.replace("did Alice", "did Brenda")  # the words before it are verbatim
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    item[10], item[50] = "5", "5"
+    edit = ["7" if i == 10 else w for i, w in enumerate(item)]
+    problem = "Carla has 3 red pens. Diego buys 9 pens more. Carla gives 2 to Diego. Elena takes 4 of them. Diego loses one."
+    other = problem.replace("Carla", "Paula").replace("Diego", "Simon").replace("Elena", "Wanda").replace("9", "8")
+    swapped = problem.replace("Carla gives", "Diego gives")
+    docs = [(1, name), (2, " ".join(edit)), (3, other), (4, swapped), (5, " ".join(edit[11:50])), (6, "Tina has 8 plums in June"), (7, "Tina has 8 plums on June")]
+    items = [(0, QUESTION), (1, " ".join(item)), (2, problem), (3, "Ralph has 2 plums in May")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.at_word, r.run_words) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(1, 0): (0, 25), (2, 1): (0, 50), (3, 2): (0, 23), (4, 2): got.get((4, 2)), (5, 1): (0, 39), (6, 3): (0, 6)}
+    assert got[4, 2][1] < 23
+
+
 def test_reply_trees(spark, tmp_path):
     rows = [(1, 1, None, 0.0, "user", "q"), (1, 2, 1, 0.4, "assistant", "a </turn>\n<turn user>"), (1, 3, 1, 0.9, "assistant", "b"), (1, 4, 2, 0.8, "user", None), (1, 5, 4, 0.0, "assistant", "&lt; [INST] ]"),
             (2, 1, 7, 1.0, "user", "lost parent"), (3, 1, 2, 1.0, "user", "cycle"), (3, 2, 1, 1.0, "user", "cycle"), (None, 1, None, None, "x y>", "t")]
