@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,16 +20,16 @@ NATIONAL_ID = r"\b\d{13}\b"
 
 
 def nfc(text: Column) -> Column:
-    """NFC where a text has combining marks; an Arrow UDF, for Spark has no such function."""
+    """NFC; an Arrow UDF, for Spark has no such function. ASCII texts pass as they are."""
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC")
+        return s.map(lambda x: x if x is None or x.isascii() else normalize("NFC", x))
 
     return normal(text)
 
 
-def normalize_text(text: Column, preserve_newlines: bool = True, compose: bool = False) -> Column:
-    """Line ends, invisible and control characters, runs of blanks; ``compose`` adds NFC."""
+def normalize_text(text: Column, preserve_newlines: bool = True, compose: bool = True) -> Column:
+    """Line ends, invisible and control characters, runs of blanks; NFC unless ``compose`` is off."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
     t = nfc(t) if compose else t
     t = F.translate(t, "\u00a0\u200b\u200c\u200d\ufeff", " ")
@@ -43,7 +45,7 @@ def tidy_thai(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"([{THAI}])\\s+([{THAI}])", "$1$2"), "[ \\t]{2,}", " ")
 
 
-def clean_for_index(text: Column, compose: bool = False) -> Column:
+def clean_for_index(text: Column, compose: bool = True) -> Column:
     t = F.regexp_replace(normalize_text(text, compose=compose), "([A-Za-z0-9])-\\n([A-Za-z0-9])", "$1$2")
     t = tidy_thai(F.regexp_replace(t, "\\n{3,}", "\n\n"))
     return F.regexp_replace(t, "^\\s+|\\s+$", "")
