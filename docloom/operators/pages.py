@@ -39,7 +39,9 @@ def with_fallback(pages: DataFrame, ocr: DataFrame, keys: list[str], min_length:
     """``pages`` (text, method) with ``ocr`` (first, second) in place of texts that are blank, short or poor.
 
     A page without any OCR text keeps its own; ``method`` tells which was taken."""
-    best = choose_ocr(ocr, "first", "second", out="ocr_text").select(*keys, "ocr_text")
+    needed = needs_ocr(F.coalesce("text", F.lit("")), min_length, min_score)
+    asked = ocr.join(pages.where(needed).select(*keys).distinct(), keys, "left_semi")  # the choice is only made for these
+    best = choose_ocr(asked, "first", "second", out="ocr_text").select(*keys, "ocr_text")
     rows = pages.join(best, keys, "left")
-    swap = needs_ocr(F.coalesce("text", F.lit("")), min_length, min_score) & filled(F.col("ocr_text"))
+    swap = needed & filled(F.col("ocr_text"))
     return rows.withColumn("method", F.when(swap, "ocr").otherwise(F.col("method"))).withColumn("text", F.when(swap, F.col("ocr_text")).otherwise(F.coalesce("text", F.lit("")))).drop("ocr_text")

@@ -10,3 +10,13 @@ def test_clean_text_composes(spark, tmp_path):
     got = {r.doc_id: (r.digest, r.n_chars) for r in core.queries()["clean_text"](spark, str(tmp_path)).collect()}
     want = {1: "caf\u00e9 coop", 2: "plain coop", 3: ""}
     assert got == {k: (hashlib.sha1(v.encode()).hexdigest(), len(v)) for k, v in want.items()}
+
+
+def test_page_fallback_asks_every_page(spark, tmp_path):
+    long = "a page with a text layer that is long enough and good enough to stay as it is"
+    rows = [(1, "short code"), (2, long), (3, "short"), (5, long), (6, ". , ; " * 20 + "x"), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.method, r.digest) for r in core.queries()["page_fallback"](spark, str(tmp_path)).collect()}
+    noisy = lambda x: x.translate(str.maketrans("aeo", "#%~"))
+    want = {1: ("ocr", noisy("short code")), 2: ("text layer", long), 3: ("ocr", noisy("short")), 5: ("ocr", noisy(long)), 6: ("ocr", rows[4][1]), 7: ("text layer", "")}
+    assert got == {k: (m, hashlib.sha1(v.encode()).hexdigest()) for k, (m, v) in want.items()}
