@@ -28,7 +28,13 @@ def work_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/docloom-work"
-    return f"{base.rstrip('/')}/docloom/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/docloom/{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)  # what a query's result still needs goes when the driver ends
+    return path
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -43,6 +49,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def finished(df: DataFrame, base: str) -> DataFrame:
+    """``df`` as a table of its own, after which all else below the folder ``base`` is removed."""
+    out = written(df, f"{base}/result")
+    jvm = df.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(where):
+        if status.getPath().getName() != "result":
+            fs.delete(status.getPath(), True)
+    return out
+
+
 def crc_mod(id_col: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit("")), "UTF-8")) % n
