@@ -82,6 +82,19 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
+def test_encoder_gives_the_tokenizers_ids():
+    import public_tokenizers
+
+    encode = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    every = [f"a{chr(c)}b '{chr(c)}1 {chr(c)}{chr(c)}'s" for c in [*range(0, 0x3000), *range(0xA000, 0xD800, 3), *range(0xE000, 0x10000, 3), *range(0x10000, 0x20000, 7), *range(0x20000, 0x110000, 997)]]
+    blocks = [(32, 127), (0xA0, 0x250), (0x300, 0x530), (0x590, 0x700), (0x900, 0x1000), (0xE00, 0xE80), (0x1E00, 0x2C00), (0x3000, 0x3100), (0xA640, 0xAB70), (0xFF00, 0xFFF0), (0x1F300, 0x1F700), (0x10000, 0x10D60)]
+    mixed = ["".join(chr(rng.randrange(*rng.choice(blocks))) if rng.random() < 0.8 else rng.choice([" ", "'s", "\n", "\u0130", "'LL", "\u03a3 ", "<|endoftext|>", "\x1e"]) for _ in range(rng.randrange(60))) for _ in range(5000)]
+    for texts in (every, mixed, ["", " ", "'" + "\u209f", "x" * 100_000]):
+        want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [x for x, w, g in zip(texts, want, encode(texts)) if w.ids != g.tolist()] == []
+
+
 def shingles(text, n):
     w = WORD((text or "").translate(ASCII))
     return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -175,6 +188,21 @@ def test_warc(spark, tmp_path):
         assert r.record_type == ("revisit" if first else "response") and r.refers_to == (f"<urn:page:{first}>" if first else None)
         assert r.payload_digest == "sha256:" + hashlib.sha256((html or "").encode()).hexdigest()
         assert r.block == ("" if first else warc.HTTP + (html or ""))
+    # the same files in many small splits; null and repeated ids, a long page, and copies of both
+    long = body * 3 + "z" * 300_000
+    odd = rows + [(None, "u", "y" * 200), (None, "u", "y" * 200), (11, "u", "y" * 200), (11, "u", "y" * 200), (12, "u", long), (13, "u", long), (14, "u", "WARC/1.1\r\n" * 40), (15, "u", "\r\n\r\n")]
+    pages = spark.createDataFrame(odd, "page_id long, url string, html string")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [(r.record_id, r.record_type, r.refers_to, r.block) for r in warc.round_trip(pages.coalesce(1), f"file://{tmp_path}/splits").collect()]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    first = {2: 1, 9: 7, 13: 12}
+    want = [(f"<urn:page:{i}>" if i is not None else None, "revisit" if i in first else "response", f"<urn:page:{first[i]}>" if i in first else None, "" if i in first else warc.HTTP + (html or "")) for i, _, html in odd]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none, f"file://{tmp_path}/none").count() == 0
 
