@@ -229,9 +229,53 @@ def test_suffix(spark):
     assert suffix.repeated_passages(empty(spark)).count() == 0
 
 
+def repeated_words(rows, min_words):
+    """Words by document that lie in ``min_words`` words which another document has too."""
+    words, holders = {}, {}
+    for d, text in rows:
+        if d is not None:
+            words.setdefault(d, []).append(WORD((text or "").translate(ASCII)))
+    for d, texts in words.items():
+        for x in texts:
+            for i in range(len(x) - min_words + 1):
+                holders.setdefault(tuple(x[i:i + min_words]), set()).add(d)
+    return {d: got for d, texts in words.items() if (got := {i + j for x in texts for i in range(len(x) - min_words + 1) if len(holders[tuple(x[i:i + min_words])]) > 1 for j in range(min_words)})}
+
+
+def test_suffix_finds_every_repeat(spark):
+    """All common passages of random texts with repeats inside documents, against brute force."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    passage = words(200)  # five times in one document, once in another
+    rows.append((1, sum((words(60) + passage for _ in range(5)), [])))
+    rows.append((2, words(30) + passage + words(10)))
+    # the longest match to the left and that to the right are of different documents
+    middle = words(120)
+    rows += [(3, words(20) + middle + words(20)), (4, words(40) + middle[:90]), (5, middle[30:] + words(9)), (6, words(7) + middle[20:80] + words(3)), (7, middle[25:76]), (8, middle[40:95]), (9, words(5) + middle[33:83] + words(5))]
+    pool = [words(rng.randrange(20, 150)) for _ in range(12)]
+    for d in range(20, 90):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            x = rng.choice(pool)
+            a = rng.randrange(len(x))
+            text += x[a:a + rng.randrange(10, 150)] + words(rng.randrange(0, 12))
+        rows.append((d, text * rng.choice((1, 1, 1, 2))))
+    rows += [(90, middle + words(20_000) + passage), (91, ["same"] * 400), (92, words(3) + ["same"] * 300)]  # long ones, and one word over and over
+    rows += [(93, passage[:70]), (93, words(30) + middle[:55])]  # two texts with one id
+    rows = [(d, " ".join(x)) for d, x in rows] + [(94, None), (95, ""), (None, " ".join(middle))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.lit(1)).withColumn("kind", F.lit(1)).repartition(5)
+    for min_words, k in ((50, 12), (30, 8)):
+        got = {r.doc_id: {w for s in r.spans for w in range(s.start, s.end)} for r in suffix.repeated_passages(df, min_words, k).collect()}
+        want = repeated_words(rows, min_words)
+        assert got.keys() == want.keys()
+        assert {d: sorted(got[d] ^ want[d]) for d in want if got[d] != want[d]} == {}
+
+
 def test_quality_statistics(spark):
     rows = [r for r in with_odd(spark).select("doc_id", "text").collect()]
-    got = sorted((r.doc_id or -1, r.n_words_new, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.statistics(with_odd(spark).select("doc_id", "text")).withColumnRenamed("n_words", "n_words_new").collect())
+    numbers = lambda **more: sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.statistics(with_odd(spark), **more).collect())
+    got = numbers()
     want = []
     for r in rows:
         text = r.text or ""
@@ -247,9 +291,18 @@ def test_quality_statistics(spark):
         again = {i + j for p in places.values() if len(p) > 1 for i in p for j in range(3)}
         want.append((r.doc_id or -1, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(again)))
     assert got == sorted(want)
+    assert numbers(hash_bits=3) == got  # equal hashes of different windows
     assert quality_rules.statistics(empty(spark)).count() == 0
 
 
+def test_quality_fit_without_classes(spark):
+    docs = documents(spark).select("doc_id", "text")
+    marks = lambda *rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    assert quality_rules.fit(docs, marks((None, 1)).where("false")) == []
+    assert quality_rules.fit(docs, marks((1, 0), (2, None), (None, 0))) == []
+    assert quality_rules.fit(empty(spark), marks((1, 0), (2, 1))) == []
+
+
 def test_decision_list():
     rng = random.Random(1)
     rows = []
@@ -259,6 +312,14 @@ def test_decision_list():
     rules = quality_rules.learn(rows)
     wrong = sum(bad != any(all(c.holds(f) for c in rule) for rule in rules) for f, bad in rows)
     assert rules and wrong < 20
+    two = [(f, f["symbol_rate"] > 0.8 or f["digit_rate"] < 0.15) for f, _ in rows]
+    found = quality_rules.learn(two)
+    assert len(found) > 1 and sum(bad != any(all(c.holds(f) for c in rule) for rule in found) for f, bad in two) < 20
+    # a rule that fails at first does not keep the next ones from being found
+    noise = [(f, rng.random() < 0.5 if f["mark_rate"] > 0.6 else f["digit_rate"] < 0.12) for f, _ in rows]
+    found = quality_rules.learn(noise)
+    caught = [any(all(c.holds(f) for c in rule) for rule in found) for f, bad in noise if f["digit_rate"] < 0.1 and f["mark_rate"] <= 0.6]
+    assert sum(caught) > 0.8 * len(caught)
     assert quality_rules.learn([]) == [] and quality_rules.learn([(rows[0][0], False)] * 9) == []
 
 

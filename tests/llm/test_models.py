@@ -44,6 +44,28 @@ def test_language_id(spark):
 
     for word in ("house", "straße", "été", "qzx"):
         assert np.allclose(np.exp(model.word_scores([word])[0]), total(langid.MARK + word), rtol=1e-9)
+    # whole texts: long words (in blocks and rescaled), numerals that are no letters, and random letters
+    def by_steps(word):
+        word = langid.MARK + word
+        a = [np.zeros(len(model.languages))]  # logs
+        for end in range(1, len(word) + 1):
+            ways = [a[end - k] + np.log(np.maximum(pieces.get(word[end - k:end], langid.UNKNOWN if k == 1 else 0), 1e-320)) for k in range(1, min(end, 40) + 1)]
+            a.append(np.logaddexp.reduce(ways))
+        return a[-1]
+
+    texts = ["The house, the house and a straße.", "été " * 30, "onlythandtheered" * 4, "ab" * 5000 + " über die", "½ ² ①", "x½y, ②thes", "الكتاب 9", docs.first().text]
+    names, score, _ = model.texts(texts)
+    for text, name, p in zip(texts, names, score):
+        words = __import__("regex").findall(r"\p{L}+", text.lower())
+        if not words:
+            assert (name, p) == ("und", 0)
+            continue
+        total = sum(by_steps(w) for w in words)
+        assert name == model.languages[int(np.argmax(total))] and abs(p - 1 / np.exp(total - total.max()).sum()) < 1e-6
+    rng = __import__("random").Random(3)
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyzaeiou") for _ in range(rng.randrange(3, 9))) for _ in range(60)) for _ in range(30)]
+    assert not any(model.texts(noise)[2])
+    assert langid.identify(docs.where("lang is not null").select("doc_id", "text"), model).where("lang_pred <> 'und' and not typical").count() == 0
     none = langid.train(docs.where("false"), F.lit(True), path)
     assert {r.lang_pred for r in langid.identify(odd(spark).select("doc_id", "text"), none).collect()} == {"und"}
     assert langid.identify(odd(spark).where("false").select("doc_id", "text"), model).count() == 0
