@@ -14,12 +14,14 @@ rows are packed as often as they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +36,20 @@ SCHEMA = T.StructType([
     T.StructField("offset", T.LongType()),
 ])
 WORD_CACHE = 600_000
+#: Strings in a text at which white space does not tell where pre-tokens end.
+APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Bytes of text that a worker encodes at once.
+STRETCH = 8_000_000
 
 
 class WordEncoder:
-    """The ids of ``tokenizers`` for a lower-casing word BPE, with each word encoded once.
+    """The ids of ``tokenizers`` for a lower-casing byte-level word BPE, with each word encoded once.
 
     The vocabulary's pre-tokens never cross white space, so a text's ids are those of its
-    white-space chunks in turn, and a chunk's are those of its pre-tokens. Texts in which that might
-    not hold (special tokens, the separators U+001C to U+001F) are encoded whole.
+    white-space chunks in turn, and a chunk's are those of its pre-tokens. Arrow cuts a batch of texts
+    into chunks and numbers the distinct ones; only these are looked up in Python. Texts in which
+    that might not hold (special tokens, the separators U+001C to U+001F, code points that Python's
+    Unicode tables don't know, which the tokenizer may class otherwise) are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,45 +57,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bpe = self.tokenizer.model.tokenize
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.whole = regex.compile("[\x1c-\x1f]|<\\|").search
-        self.chunks: dict[str, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}  # chunk -> its place in starts and lengths
         self.pieces: dict[str, bytes] = {}
+        # place 0 is of chunks that can't be encoded by themselves
+        self.starts, self.lengths, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def direct(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def piece(self, p: str) -> bytes:
+        shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.alphabet)
+        self.pieces[p] = raw = array("I", [t.id for t in self.bpe(shown)]).tobytes()
+        return raw
 
     def learn(self, chunks: list[str]) -> None:
-        parts = [self.split(c) for c in chunks]
-        known = self.pieces
-        new = list({p for ps in parts for p in ps if p not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, words = np.asarray(e.ids, dtype="<u4"), np.asarray([-1 if w is None else w for w in e.word_ids])
-            starts = np.flatnonzero(np.diff(words, prepend=-2))
-            if len(starts) == len(some):
-                raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
-                for p, a, b in zip(some, starts.tolist(), ends):
-                    known[p] = raw[4 * a:4 * b]
-            else:
-                for p in some:
-                    known[p] = self.direct(p)
-        for c, ps in zip(chunks, parts):
-            self.chunks[c] = b"".join([known[p] for p in ps])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > WORD_CACHE:
-            self.chunks = {}
-        if len(self.pieces) > WORD_CACHE:
-            self.pieces = {}
-        split = [None if self.whole(t) else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower().split() for t in texts]
-        seen = self.chunks
-        new = set().union(*(s for s in split if s)) - seen.keys()
+        known, one = self.pieces, self.piece
+        odd = {c for c in chunks if not (c.isascii() or c.isprintable()) and any(category(x) == "Cn" for x in c)}
+        if odd:
+            self.places.update(dict.fromkeys(odd, 0))
+            chunks = [c for c in chunks if c not in odd]
+        raws = [b"".join([known[p] if p in known else one(p) for p in self.split(c)]) for c in chunks]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        self.places.update(zip(chunks, range(len(self.lengths), len(self.lengths) + len(chunks))))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(raws), "<u4")])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        if len(self.places) > WORD_CACHE or len(self.pool) > 16 * WORD_CACHE:
+            self.forget()
+        out: list = [self.direct(t) if any(x in t for x in APART) else None for t in texts]
+        plain = [i for i, ids in enumerate(out) if ids is None]
+        norm = [t.lower() if (t := texts[i]).isascii() else " ".join(normalize("NFC", t).replace("Σ", "σ").lower().split()) for i in plain]
+        chunks = pc.ascii_split_whitespace(pa.array(norm, pa.large_string()))
+        coded = chunks.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [c for c in names if c not in self.places]
         if new:
-            self.learn(list(new))
-        return [self.direct(t) if s is None else b"".join(map(seen.__getitem__, s)) for t, s in zip(texts, split)]
+            self.learn(new)
+        at = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        lengths = self.lengths[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.pool[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[chunks.offsets.to_numpy()].tolist()
+        for i, a, z in zip(plain, bounds, bounds[1:]):
+            out[i] = ids[a:z]
+        for i in np.unique(np.searchsorted(chunks.offsets.to_numpy(), np.flatnonzero(at == 0), "right") - 1).tolist():
+            out[plain[i]] = self.direct(texts[plain[i]])
+        return out
 
 
 class Packer:
@@ -137,7 +163,7 @@ class Packer:
     def close(self, pieces: list) -> None:
         at = 0
         for doc_id, start, ids, n in pieces:
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, self.next_id, at))
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids)), n, self.next_id, at))
             at += len(ids)
         self.next_id += 1
 
@@ -165,6 +191,13 @@ class Packer:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of stretches of a batch that hold about ``STRETCH`` bytes of text, one row at least."""
+    place = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)) // STRETCH
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
+    yield from ((int(a), int(z - a)) for a, z in zip(cuts, cuts[1:]) if z > a)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = 2048, max_open: int = 1024) -> DataFrame:
     """One row per piece; see the module's notes. ``sequence_id`` is unique over all partitions."""
 
@@ -181,11 +214,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             cols = list(zip(*rows)) or [()] * len(SCHEMA)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=SCHEMA.names)
 
+        end = np.full(1, end_id, dtype="<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc_id, raw in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
-                    packer.add(doc_id, np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)))
+            for at, n in _stretches(batch.column(1)):
+                part = batch.slice(at, n)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+                    packer.add(doc_id, np.concatenate([ids, end]))
                 yield out()
         packer.recut(last=True)
         yield out()
