@@ -1,45 +1,66 @@
 """Repeated passages by sparse suffix arrays.
 
 Of each text, the suffixes at content-selected positions are retained: a position whose ``k``-word
-hash is the least of ``w`` consecutive ones (minimisers). Passages of ``k + w - 1`` = ``min_words``
-words or more that occur twice hold the same minimiser in both places. Suffixes whose first ``k`` words
-occur once are dropped; the others are sorted by what follows, and once more by what precedes
-(backwards), by range partitioning over the whole key, so a passage that very many documents share is
-spread over many tasks. Neighbours of different documents are extended right and left; where they agree
-in at least ``min_words`` words, both get a span. Overlapping and touching spans of a document are joined.
-
-Copies of a whole text are found first and stand aside: only the one with the smallest id enters the
-suffix array, and all get their whole text as the span.
-
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null, empty and short texts have no spans and no
-row. Rows with a null id are ignored. Rows that repeat an id count as one document. An empty table gives
-an empty result; other columns are ignored.
+hash is the least of ``w`` consecutive ones (minimisers). Every passage of ``k + w - 1`` = ``min_words``
+words that occurs twice holds the same minimiser at the same place in both. So a word lies in a repeated
+passage if some ``min_words`` words around it, with a minimiser inside, stand in another document too.
+
+1. Suffixes whose first ``k`` words occur in one document only are dropped. The others are sorted by
+   what follows, and once more by what precedes (backwards), by range partitioning over the whole key,
+   so that a passage which very many documents share is spread over many tasks. Suffixes of one document
+   that agree in all words within reach are one row with several places.
+2. In each order, a suffix is compared with the nearest suffixes of another document on both sides, and
+   each match is extended left and right as far as passages with this minimiser can reach. Where both
+   together have ``min_words`` words, they give a span. The nearest suffix to the right shares the most
+   words to the right of all, that of the other order the most to the left: passages beyond these bounds
+   can't repeat.
+3. What lies within both bounds and in no span (the longest match to the left and that to the right may
+   be of different documents, and a partition's first and last suffixes lack a neighbour) is settled
+   exactly: just these windows of ``min_words`` words around the minimiser are hashed, in every suffix
+   that has it, and those found in two documents give spans.
+
+So no repeated passage of ``min_words`` words is missed, and every word of a span lies in one. Overlapping
+and touching spans of a document are joined. Copies of a whole text are found first and stand aside: only
+the one with the smallest id enters the suffix array, and all get their whole text as the span.
+
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, compared by 32-bit hashes. Null, empty and short
+texts have no spans and no row. Rows with a null id are ignored. Rows that repeat an id count as one
+document, with the spans of all its texts; a passage that repeats in one document only is no repeat. Ties
+don't matter: all that repeat get spans. Very long texts are taken whole, one at a time. An empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import remove, table, work_dir, written
-from docloom.llm.near_dup import _LOWER, _PLACE, BROADCAST_IDS, mix, word_hashes
+from docloom.llm.common import finished, remove, table, work_dir, written
+from docloom.llm.near_dup import _LOWER, _PLACE, mix, word_hashes
 
-SPAN_SCHEMA = "edge int, part int, doc_id long, start long, end long, anchor long, pos long, left binary, right binary"
+#: Up to so many anchors or ids (8 bytes each) are broadcast; beyond, they are shuffled.
+BROADCAST_IDS = 300_000
 
 
 def _hashes(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))[2]
 
 
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    return mix(sum((h[i:len(h) - k + 1 + i] * _PLACE[i] for i in range(1, k)), h[:len(h) - k + 1] * _PLACE[0]))
+
+
 def minimisers(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and k-word hashes of the minimisers of a text's word hashes."""
     if len(h) < k + w - 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = mix(sum((h[i:len(h) - k + 1 + i] * _PLACE[i] for i in range(1, k)), h[:len(h) - k + 1] * _PLACE[0]))
+    grams = _grams(h, k)
     least = grams  # of 1, 2, 4, ... positions, then of w
     size = 1
     while 2 * size <= w:
@@ -67,83 +88,116 @@ def _anchors(k: int, w: int):
     return run
 
 
-def _contexts(span: int):
+def _contexts(k: int, before: int, after: int):
+    """Suffixes with up to ``before`` words before them (backwards) and ``after`` from them on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                rows: tuple[list, ...] = ([], [], [], [], [])
+                rows: tuple[list, ...] = ([], [], [], [], [], [])
                 for doc_id, text, found in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns)):
-                    raw = (_hashes(text) >> np.uint64(32)).astype(">u4")
-                    back = raw[::-1].tobytes()
-                    fore, n = raw.tobytes(), len(raw)
+                    h = _hashes(text)
+                    raw = (h >> np.uint64(32)).astype(">u4")
+                    back, fore, n = raw[::-1].tobytes(), raw.tobytes(), len(raw)
+                    grams = _grams(h, k).astype(np.int64) if n >= k else np.empty(0, np.int64)
+                    same: dict[tuple, list[int]] = {}
                     for x in found:
                         p = x["pos"]
-                        for col, v in zip(rows, (doc_id, p, x["anchor"], back[4 * (n - p):4 * (n - p + span)], fore[4 * p:4 * (p + span)])):
+                        if p < len(grams) and grams[p] == x["anchor"]:  # of this text, not of another one with its id
+                            same.setdefault((x["anchor"], back[4 * (n - p):4 * (n - p + before)], fore[4 * p:4 * (p + after)]), []).append(p)
+                    for (anchor, left, right), places in same.items():
+                        for col, v in zip(rows, (doc_id, places[0], anchor, left, right, places)):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "pos", "anchor", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["doc_id", "pos", "anchor", "left", "right", "places"])
 
     return run
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their start."""
-    n = min(len(a), len(b)) // 4
-    if a[:4 * n] == b[:4 * n]:
-        return n
-    x, y = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, n)
-    return int(np.argmax(x != y))
+class _Words:
+    """A binary column of 32-bit words as a matrix."""
 
+    def __init__(self, column: pa.Array, width: int):
+        self.lengths = np.asarray(pc.binary_length(column), dtype=np.int64) // 4
+        self.there = np.arange(width) < self.lengths[:, None]
+        self.words = np.zeros(self.there.shape, np.uint32)
+        self.words[self.there] = np.frombuffer(b"".join(column.to_pylist()), np.uint32)
 
-def _spans(a: tuple, b: tuple, min_words: int) -> list[tuple]:
-    """Spans of two neighbouring suffixes (anchor, doc_id, pos, left, right)."""
-    if a[0] != b[0] or a[1] == b[1]:
-        return []
-    left, right = _shared(a[3], b[3]), _shared(a[4], b[4])
-    return [(x[1], x[2] - left, x[2] + right) for x in (a, b)] if left + right >= min_words else []
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Words that rows i and j share from their start."""
+        differ = (self.words[i] != self.words[j]) | ~self.there[i] | ~self.there[j]
+        return np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
 
 
-def _compare(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, last, first = TaskContext.get().partitionId(), None, True
+def _bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Numbers with bits low to high set; none where low > high."""
+    one = np.uint64(1)
+    ones = lambda n: (one << np.maximum(n, 0).astype(np.uint64)) - one
+    return np.where(low <= high, ones(high + 1) & ~ones(low), np.uint64(0))
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [()] * 9
-            kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["edge", "part", "doc_id", "start", "end", "anchor", "pos", "left", "right"])
 
-        def edge(kind: int, x: tuple) -> tuple:
-            return kind, part, x[1], None, None, x[0], x[2], x[3], x[4]
+def _compare(by_right: bool, min_words: int, k: int):
+    """Spans (kind 0: doc_id, x, y) and open windows (kind 1 or 2: doc_id, place x, anchor, mask) of sorted suffixes.
 
-        for batch in batches:
-            rows = []
-            for x in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "pos", "left", "right"))):
-                if first:
-                    rows.append(edge(1, x))
-                    first = False
-                else:
-                    rows += [(0, part, *s, None, None, None, None) for s in _spans(last, x, min_words)]
-                last = x
-            yield out(rows)
-        if last:
-            yield out([edge(2, last)])
-
-    return run
-
-
-def _across(min_words: int):
-    """Compares the last suffix of each partition with the first of the next one that has any."""
+    Bit j of a mask stands for the window that begins j words before the suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            spans = []
-            for kind, *x in zip(*(batch.column(c).to_pylist() for c in ("edge", "anchor", "doc_id", "pos", "left", "right"))):
-                if kind == 1 and last:
-                    spans += _spans(last, tuple(x), min_words)
-                last = tuple(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*spans)) or [()] * 3)], names=["doc_id", "start", "end"])
+        # carried on: the last document's suffixes of one anchor, and the row before them
+        carry, context = None, False
+        for batch in itertools.chain(batches, [None]):
+            last_batch = batch is None
+            if last_batch and carry is None:
+                return
+            if not last_batch and not batch.num_rows:
+                continue
+            rows = carry if last_batch else batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            n = rows.num_rows
+            anchor, doc = np.asarray(rows.column("anchor")), np.asarray(rows.column("doc_id"))
+            starts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+            number = np.searchsorted(starts, np.arange(n), "right") - 1
+            first, behind = starts[number], np.append(starts[1:], n)[number]
+            here = np.arange(1 if context else 0, n if last_batch else starts[-1])
+            unknown = np.zeros(n, bool)
+            if not context:
+                unknown |= first == 0
+            if last_batch:
+                unknown |= behind == n
+            if len(here):
+                yield compared(rows, here, anchor, doc, first - 1, behind, unknown)
+            carry = rows.slice(max(starts[-1] - 1, 0))
+            context = bool(starts[-1] > 0)
+            if last_batch:
+                return
+
+    def compared(rows, here, anchor, doc, before, behind, unknown) -> pa.RecordBatch:
+        n = len(anchor)
+        left, right = _Words(rows.column("left"), min_words - k), _Words(rows.column("right"), min_words)
+        l, r = np.zeros((2, len(here)), np.int64), np.zeros((2, len(here)), np.int64)  # noqa: E741
+        met = unknown[here]
+        for side, other in enumerate((before[here], behind[here])):
+            there = (other >= 0) & (other < n)
+            there[there] = anchor[other[there]] == anchor[here[there]]
+            l[side, there], r[side, there] = left.shared(here[there], other[there]), right.shared(here[there], other[there])
+            met = met | there
+        whole = l + r >= min_words
+        known = np.bitwise_or.reduce(np.where(whole, _bits(np.maximum(min_words - r, 0), l), np.uint64(0)), axis=0)
+        if by_right:
+            bound = np.where(unknown[here], right.lengths[here], r.max(axis=0))
+            possible = _bits(np.maximum(min_words - bound, 0), left.lengths[here])
+        else:
+            bound = np.where(unknown[here], left.lengths[here], l.max(axis=0))
+            possible = _bits(np.maximum(min_words - right.lengths[here], 0), bound)
+        mask = np.where(met, possible & ~known, np.uint64(0)).view(np.int64)
+        # both matches hold the suffix's place, so they join to one span
+        some = np.flatnonzero(whole.any(axis=0))
+        places = rows.column("places").take(pa.array(here[some]))
+        times = np.asarray(pc.list_value_length(places), dtype=np.int64)
+        at, some = np.asarray(places.flatten(), dtype=np.int64), np.repeat(some, times)
+        l, r = np.where(whole, l, 0).max(axis=0), np.where(whole, r, 0).max(axis=0)  # noqa: E741
+        left_open = np.flatnonzero(mask)
+        nulls = pa.nulls(len(some), pa.int64())
+        spans = [np.zeros(len(some), np.int32), doc[here[some]], at - l[some], at + r[some], nulls, nulls]
+        opens = [np.full(len(left_open), 1 if by_right else 2, np.int32), doc[here[left_open]], np.asarray(rows.column("pos"))[here[left_open]], pa.nulls(len(left_open), pa.int64()), anchor[here[left_open]], mask[left_open]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pa.array(b)]) for a, b in zip(spans, opens)], names=["kind", "doc_id", "x", "y", "anchor", "mask"])
 
     return run
 
@@ -153,6 +207,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 12, id_col:
     spans are 0-based word ranges [start, end); n_copies counts documents with the same whole text."""
     spark, base = docs.sparkSession, work_dir(docs.sparkSession)
     w = min_words - k + 1
+    if not 1 <= w <= 63:
+        raise ValueError("k must be at most min_words and at least min_words - 62")
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = written(docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("copy"), "text", F.length("text")).alias("h2")).distinct(), f"{base}/keys")
     same = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")).where("n_copies > 1")
@@ -168,25 +224,37 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 12, id_col:
     wanted = written(wanted, f"{base}/wanted")
     ids = wanted.select("doc_id")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    near = texts.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(min_words), "doc_id long, pos long, anchor long, left binary, right binary")
+    near = texts.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(k, min_words - k, min_words), "doc_id long, pos long, anchor long, left binary, right binary, places array<long>")
     near = written(near, f"{base}/contexts")
-    spans = None
-    for order in (["anchor", "right", "doc_id", "pos"], ["anchor", "left", "doc_id", "pos"]):
-        compared = written(near.orderBy(*order).select("anchor", "doc_id", "pos", "left", "right").mapInArrow(_compare(min_words), SPAN_SCHEMA), f"{base}/{order[1]}")
-        edges = compared.where("edge > 0").select("edge", "anchor", "doc_id", "pos", "left", "right", "part").coalesce(1).sortWithinPartitions("part", "edge").mapInArrow(_across(min_words), "doc_id long, start long, end long")
-        found = compared.where("edge = 0").select("doc_id", "start", "end").union(edges)
-        spans = found if spans is None else spans.union(found)
-    remove(spark, f"{base}/suffixes")
+    for name in ("suffixes", "wanted"):
+        remove(spark, f"{base}/{name}")
+    compared = None
+    for order in (["anchor", "right", "left"], ["anchor", "left", "right"]):
+        rows = near.orderBy(*order, "doc_id", "pos").mapInArrow(_compare(order[1] == "right", min_words, k), "kind int, doc_id long, x long, y long, anchor long, mask long")
+        rows = written(rows, f"{base}/{order[1]}")
+        compared = rows if compared is None else compared.unionByName(rows)
+    spans = compared.where("kind = 0").select("doc_id", F.col("x").alias("start"), F.col("y").alias("end"))
+    both = F.bit_or(F.when(F.col("kind") == 1, F.col("mask"))).bitwiseAND(F.bit_or(F.when(F.col("kind") == 2, F.col("mask"))))
+    windows = compared.where("kind > 0").groupBy("doc_id", "x", "anchor").agg(both.alias("mask")).where("mask <> 0")
+    windows = windows.groupBy("anchor").agg(F.bit_or("mask").alias("mask"))
+    windows = written(windows.select("anchor", F.explode(F.filter(F.sequence(F.lit(0), F.lit(w - 1)), lambda j: F.getbit("mask", j) == 1)).alias("j")), f"{base}/windows")
+    held = near.join(F.broadcast(windows) if windows.count() <= BROADCAST_IDS else windows, "anchor").where(f"octet_length(left) >= 4 * j and octet_length(right) >= 4 * ({min_words} - j)")
+    parts = [F.expr("substring(left, 1, 4 * j)"), F.expr(f"substring(right, 1, 4 * ({min_words} - j))")]
+    held = written(held.select("anchor", "j", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("window"), *parts).alias("h2"), "doc_id", "places"), f"{base}/held")
+    shared = held.groupBy("anchor", "j", "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    settled = held.join(shared, ["anchor", "j", "h1", "h2"], "left_semi").select("doc_id", F.explode("places").alias("p"), "j")
+    spans = spans.unionByName(settled.select("doc_id", (F.col("p") - F.col("j")).alias("start"), (F.col("p") - F.col("j") + min_words).alias("end")))
     merged = F.aggregate(
         F.sort_array(F.collect_set(F.struct("start", "end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda s, x: F.when((F.size(s) > 0) & (F.get(s, F.size(s) - 1)["end"] >= x["start"]),
                             F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.get(s, F.size(s) - 1)["start"].alias("start"), F.greatest(F.get(s, F.size(s) - 1)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(s, F.array(x))))
-    found = spans.distinct().groupBy("doc_id").agg(merged.alias("spans"))
+    found = spans.groupBy("doc_id").agg(merged.alias("spans"))
     whole = docs.join(copies.select("doc_id", "n_copies"), "doc_id").select("doc_id", "n_copies", F.size(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")).cast("long").alias("n"))
     whole = whole.where(F.col("n") >= min_words).groupBy("doc_id").agg(F.max("n_copies").alias("n_copies"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.max("n").alias("end"))).alias("whole"))
     out = found.join(whole, "doc_id", "full_outer").select("doc_id", F.coalesce("whole", "spans").alias("spans"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-    return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("repeat_words"), "spans", "n_copies")
+    out = out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("repeat_words"), "spans", "n_copies")
+    return finished(out, base)
 
 
 def op6_sparse_suffix_dedup(spark, sf_dir: str) -> DataFrame:
