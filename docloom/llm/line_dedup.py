@@ -1,14 +1,21 @@
 """Line deduplication over levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a Parquet table of line keys (a 128-bit hash), sorted by key within hash partitions, with
-the number of documents that hold the line and the largest of their ids. Batches of documents arrive
-one after another; each adds a run at level 0, and ``fan`` runs of a level are merged into one of the
-next. A batch is deduplicated against the runs by a merge anti-join on the key (``LineRuns.unseen``);
-the corpus query does the same with the merged run cut down to the keys that must go.
+A run is a Parquet table of line keys (a 128-bit hash), sorted by key within hash partitions, with the
+number of documents that hold the line and the largest of their ids. Batches of documents arrive one
+after another. Each new batch is merged with the runs by a sort-merge anti-join on the key: keys that no
+run has yet are its own, the others only count again. Both go into a new run at level 0, so every key is
+``own`` in one run alone; ``fan`` runs of a level are compacted into one of the next.
+
+The corpus query reads the documents once for their lines, which it writes as keys, and feeds them in
+batches. "At least ``min_docs`` documents, and the largest id keeps the line" needs the counts over all
+batches, so the runs are merged at the end, and the lines meet the keys that must go.
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. Null and empty texts
 are one empty line. Rows with a null id are left whole and count for no key; repeated rows count as
-one document and are each returned; an empty table gives an empty result; other columns pass through.
+one document and are each returned; where rows of one id differ, each keeps or loses its own lines. Ties
+don't occur: of the ids that hold a line, the largest keeps it, in every row and place. A text of any
+length is one row, a line of any length one key. An empty table gives an empty result; other columns pass
+through, but for ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +38,9 @@ def hashed(key: str) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key, F.length(key)).alias("h2")]
 
 
+RUN = "h1 long, h2 long, n_docs long, last_doc long, own boolean"
+
+
 class LineRuns:
     """Levelled sorted runs below a folder that all executors share."""
 
@@ -52,23 +62,40 @@ class LineRuns:
             for p in old:
                 remove(self.spark, p)
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+
     def _merge(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(*paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("own").alias("own"))
+
+    def _paths(self) -> list[str]:
+        return [p for level in self.levels for p in level]
 
     def add(self, lines: DataFrame) -> None:
         """``lines(doc_id, h1, h2)`` of one batch; no document may be in two batches."""
         once = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("n"))
-        self._write(once.groupBy("h1", "h2").agg(F.count("n").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
+        batch = once.groupBy("h1", "h2").agg(F.count("n").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        if not self._paths():
+            self._write(batch.withColumn("own", F.lit(True)), 0)
+            return
+        batch = written(batch, f"{self.base}/batch-{self.made}")
+        own = self.unseen(batch).withColumn("own", F.lit(True))
+        again = batch.join(self._keys(), ["h1", "h2"], "left_semi").withColumn("own", F.lit(False))
+        path = f"{self.base}/batch-{self.made}"
+        self._write(own.unionByName(again), 0)
+        remove(self.spark, path)
 
     def merged(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, last_doc long")
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(*paths) if len(paths) == 1 else self._merge(paths)
+        """Every key once, with the number of documents and the largest id."""
+        paths = self._paths()
+        return (self._read(paths) if len(paths) < 2 else self._merge(paths)).drop("own")
+
+    def _keys(self) -> DataFrame:
+        return self._read(self._paths()).where("own").select("h1", "h2").hint("merge")
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """The lines of a new batch whose keys are in no run."""
-        return lines.join(self.merged().select("h1", "h2"), ["h1", "h2"], "left_anti")
+        """The lines (or keys) of a new batch whose keys are in no run: a merge anti-join."""
+        return lines.join(self._keys(), ["h1", "h2"], "left_anti")
 
 
 def exploded(docs: DataFrame, text_col: str, min_chars: int, *carried: Column) -> DataFrame:
@@ -85,17 +112,23 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     """
     spark = docs.sparkSession
     base = work_dir(spark)
-    runs = LineRuns(spark, base, fan)
+    docs = docs.drop("n_lines", "n_dropped")
     id_ = F.col(id_col).cast("long")
-    batch = F.pmod(F.xxhash64(id_), F.lit(batches))
+    # the text's hash tells rows with one id apart
+    lines = exploded(docs.where(F.col(id_col).isNotNull()), text_col, min_chars, id_.alias("_id"), F.xxhash64(text_col).alias("_text"))
+    lines.withColumn("batch", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(f"{base}/lines")
+    lines = spark.read.schema("_id long, _text long, pos int, h1 long, h2 long, batch int").parquet(f"{base}/lines")
+    runs = LineRuns(spark, f"{base}/runs", fan)
     for i in range(batches):
-        runs.add(exploded(docs.where(F.col(id_col).isNotNull() & (batch == i)), text_col, min_chars, id_.alias("doc_id")).select("doc_id", "h1", "h2"))
+        runs.add(lines.where(F.col("batch") == i).select(F.col("_id").alias("doc_id"), "h1", "h2"))
     goes = written(runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), f"{base}/goes")
+    remove(spark, f"{base}/runs")
     if goes.count() <= BROADCAST_KEYS:
         goes = F.broadcast(goes)
-    # the text's hash tells rows with one id apart
-    rows = exploded(docs.where(F.col(id_col).isNotNull()), text_col, min_chars, id_.alias("_id"), F.xxhash64(text_col).alias("_text"))
-    lost = rows.join(goes, ["h1", "h2"]).where("_id <> last_doc").groupBy("_id", "_text").agg(F.collect_set("pos").alias("_lost"))
+    lost = lines.join(goes, ["h1", "h2"]).where("_id <> last_doc").groupBy("_id", "_text").agg(F.collect_set("pos").alias("_lost"))
+    lost = written(lost, f"{base}/lost")
+    for name in ("lines", "goes"):
+        remove(spark, f"{base}/{name}")
     out = docs.withColumn("_id", id_).withColumn("_text", F.xxhash64(text_col)).join(lost, ["_id", "_text"], "left")
     out = out.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
