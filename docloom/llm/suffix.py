@@ -13,11 +13,11 @@ passage if some ``min_words`` words around it, with a minimiser inside, stand in
    each match is extended left and right as far as passages with this minimiser can reach. Where both
    together have ``min_words`` words, they give a span. The nearest suffix to the right shares the most
    words to the right of all, that of the other order the most to the left: passages beyond these bounds
-   can't repeat.
-3. What lies within both bounds and in no span (the longest match to the left and that to the right may
-   be of different documents, and a partition's first and last suffixes lack a neighbour) is settled
-   exactly: just these windows of ``min_words`` words around the minimiser are hashed, in every suffix
-   that has it, and those found in two documents give spans.
+   can't repeat. Suffixes next to the border of two partitions are compared across it, border by border.
+3. What lies within both bounds and in no span of the document (the longest match to the left and that
+   to the right may be of different documents) is settled exactly: just these windows of ``min_words`` words around the minimiser are hashed, in every
+   suffix that has it, and those found in two documents give spans. A window is looked at under its least
+   hash only, so once.
 
 So no repeated passage of ``min_words`` words is missed, and every word of a span lies in one. Overlapping
 and touching spans of a document are joined. Copies of a whole text are found first and stand aside: only
@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import finished, remove, table, work_dir, written
 from docloom.llm.near_dup import _LOWER, _PLACE, mix, word_hashes
 
+#: So many suffixes on each side are compared before a window is left to the exact step.
+FARTHER = 24
 #: Up to so many anchors or ids (8 bytes each) are broadcast; beyond, they are shuffled.
 BROADCAST_IDS = 300_000
 
@@ -88,27 +90,46 @@ def _anchors(k: int, w: int):
     return run
 
 
+CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+
+
+def _led(grams: np.ndarray, at: np.ndarray, reach: int) -> tuple[list[int], list[int]]:
+    """Of the windows that hold the gram at a place, those in which it is the least begin ``low`` to ``high`` words before it."""
+    steps = np.arange(1, reach + 1)
+    high, low = np.full(len(at), reach), np.zeros(len(at), np.int64)
+    for sign in (-1, 1):
+        place = at[:, None] + sign * steps
+        less = (place >= 0) & (place < len(grams))
+        less &= grams[np.clip(place, 0, max(len(grams) - 1, 0))] < grams[at][:, None] if len(at) else False
+        free = np.where(less.any(axis=1), less.argmax(axis=1), reach)
+        if sign < 0:
+            high = free
+        else:
+            low = reach - free
+    return low.tolist(), high.tolist()
+
+
 def _contexts(k: int, before: int, after: int):
     """Suffixes with up to ``before`` words before them (backwards) and ``after`` from them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
+                rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
                 for doc_id, text, found in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns)):
                     h = _hashes(text)
                     raw = (h >> np.uint64(32)).astype(">u4")
                     back, fore, n = raw[::-1].tobytes(), raw.tobytes(), len(raw)
                     grams = _grams(h, k).astype(np.int64) if n >= k else np.empty(0, np.int64)
+                    # of this text, not of another one with its id
+                    found = [p for x in found if (p := x["pos"]) < len(grams) and grams[p] == x["anchor"]]
                     same: dict[tuple, list[int]] = {}
-                    for x in found:
-                        p = x["pos"]
-                        if p < len(grams) and grams[p] == x["anchor"]:  # of this text, not of another one with its id
-                            same.setdefault((x["anchor"], back[4 * (n - p):4 * (n - p + before)], fore[4 * p:4 * (p + after)]), []).append(p)
-                    for (anchor, left, right), places in same.items():
-                        for col, v in zip(rows, (doc_id, places[0], anchor, left, right, places)):
+                    for p, low, high in zip(found, *_led(grams.view(np.uint64), np.asarray(found, np.int64), before)):
+                        same.setdefault((int(grams[p]), low, high, back[4 * (n - p):4 * (n - p + before)], fore[4 * p:4 * (p + after)]), []).append(p)
+                    for (anchor, low, high, left, right), places in same.items():
+                        for col, v in zip(rows, (doc_id, places[0], anchor, left, right, places, low, high)):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["doc_id", "pos", "anchor", "left", "right", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, CONTEXT_TYPES)], names=["doc_id", "pos", "anchor", "left", "right", "places", "low", "high"])
 
     return run
 
@@ -135,14 +156,56 @@ def _bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(low <= high, ones(high + 1) & ~ones(low), np.uint64(0))
 
 
-def _compare(by_right: bool, min_words: int, k: int):
-    """Spans (kind 0: doc_id, x, y) and open windows (kind 1 or 2: doc_id, place x, anchor, mask) of sorted suffixes.
-
-    Bit j of a mask stands for the window that begins j words before the suffix."""
+COMPARED = {"kind": pa.int32(), "doc_id": pa.int64(), "x": pa.int64(), "y": pa.int64(), "anchor": pa.int64(), "mask": pa.int64(), "places": pa.list_(pa.int64()),
+            "border": pa.int32(), "left": pa.binary(), "right": pa.binary(), "low": pa.int64(), "high": pa.int64()}
+COMPARED_SCHEMA = "kind int, doc_id long, x long, y long, anchor long, mask long, places array<long>, border int, left binary, right binary, low long, high long"
+
+
+def _compare(by_right: bool, min_words: int, k: int, edges: bool = False):
+    """Spans (kind 0: doc_id, x, y) and open windows (kind 1 or 2: doc_id, suffix x, anchor, mask, places) of sorted suffixes.
+
+    Bit j of a mask stands for the window that begins j words before the suffix. The suffixes at a
+    partition's start and end come out as kind 5 and 6, and, where ``edges`` are compared across the
+    border to the next partition, the masks of those that lacked a neighbour once more as kind 3 or 4."""
+
+    def runs_of(rows) -> tuple:
+        anchor, doc = np.asarray(rows.column("anchor")), np.asarray(rows.column("doc_id"))
+        starts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+        number = np.searchsorted(starts, np.arange(len(doc)), "right") - 1
+        return anchor, doc, starts, starts[number], np.append(starts[1:], len(doc))[number]
+
+    def edge(rows, kind: int) -> pa.RecordBatch:
+        """The rows of the first or last run and some beyond, of the same anchor."""
+        from pyspark import TaskContext
+
+        anchor, _, starts, _, behind = runs_of(rows)
+        some = slice(0, int(behind[0]) + FARTHER) if kind == 5 else slice(max(int(starts[-1]) - FARTHER, 0), len(anchor))
+        keep = np.arange(len(anchor))[some]
+        rows = rows.take(pa.array(keep[anchor[keep] == anchor[0 if kind == 5 else -1]]))
+        part = TaskContext.get().partitionId() - (kind == 5)  # the number of the border
+        return shaped({c: rows.column(c) for c in ("doc_id", "anchor", "places", "left", "right", "low", "high")} | {"x": rows.column("pos"), "kind": np.full(rows.num_rows, kind, np.int32), "border": np.full(rows.num_rows, part, np.int32)}, rows.num_rows)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by border, then like the suffixes: compares those next to each border with both sides."""
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        rows = table.combine_chunks().to_batches()[0]
+        border, kind = np.asarray(rows.column("border")), np.asarray(rows.column("side"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(border)) + 1, [len(border)]])
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            first = a + int((kind[a:z] == 6).sum())  # of the partition behind the border
+            if a < first < z:
+                some = rows.slice(a, z - a)
+                anchor, doc, _, begin, behind = runs_of(some)
+                near = np.flatnonzero((begin == begin[first - a]) | (begin == begin[first - a - 1]))
+                near = near[(begin[near] > 0) & (behind[near] < z - a)]
+                if len(near):
+                    yield compared(some, near, anchor, doc, begin - 1, behind, np.zeros(z - a, bool), all_masks=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # carried on: the last document's suffixes of one anchor, and the row before them
-        carry, context = None, False
+        carry, context, earlier = None, False, None
         for batch in itertools.chain(batches, [None]):
             last_batch = batch is None
             if last_batch and carry is None:
@@ -151,55 +214,82 @@ def _compare(by_right: bool, min_words: int, k: int):
                 continue
             rows = carry if last_batch else batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
             n = rows.num_rows
-            anchor, doc = np.asarray(rows.column("anchor")), np.asarray(rows.column("doc_id"))
-            starts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-            number = np.searchsorted(starts, np.arange(n), "right") - 1
-            first, behind = starts[number], np.append(starts[1:], n)[number]
+            anchor, doc, starts, first, behind = runs_of(rows)
+            unknown = np.zeros(n, bool)
+            if not context:
+                unknown |= first == 0
+            if last_batch:
+                unknown |= behind == n
+                yield edge(rows if earlier is None else pa.Table.from_batches([earlier, rows.slice(1 if context else 0)]).combine_chunks().to_batches()[0], 6)
             here = np.arange(1 if context else 0, n if last_batch else starts[-1])
             unknown = np.zeros(n, bool)
             if not context:
                 unknown |= first == 0
             if last_batch:
                 unknown |= behind == n
+            if not context and (len(starts) > 1 or last_batch):
+                yield edge(rows, 5)
             if len(here):
                 yield compared(rows, here, anchor, doc, first - 1, behind, unknown)
-            carry = rows.slice(max(starts[-1] - 1, 0))
-            context = bool(starts[-1] > 0)
             if last_batch:
                 return
+            carry, context = rows.slice(max(starts[-1] - 1, 0)), bool(starts[-1] > 0)
+            earlier = rows.slice(max(starts[-1] - FARTHER, 0), min(starts[-1], FARTHER)) if context else None
+
+    def shaped(columns: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if isinstance(columns.get(c), np.ndarray) else columns.get(c, pa.nulls(n, t)) for c, t in COMPARED.items()], names=list(COMPARED))
 
-    def compared(rows, here, anchor, doc, before, behind, unknown) -> pa.RecordBatch:
+    def compared(rows, here, anchor, doc, before, behind, unknown, all_masks: bool = False) -> pa.RecordBatch:
         n = len(anchor)
         left, right = _Words(rows.column("left"), min_words - k), _Words(rows.column("right"), min_words)
-        l, r = np.zeros((2, len(here)), np.int64), np.zeros((2, len(here)), np.int64)  # noqa: E741
-        met = unknown[here]
-        for side, other in enumerate((before[here], behind[here])):
+        best_l, best_r = np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)  # of any match
+        span_l, span_r = np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)  # of whole ones
+        known, met = np.zeros(len(here), np.uint64), unknown[here]
+
+        def meet(i: np.ndarray, other: np.ndarray) -> np.ndarray:
+            """Compares suffixes ``here[i]`` with others; tells which of these are of the same anchor and another document."""
             there = (other >= 0) & (other < n)
-            there[there] = anchor[other[there]] == anchor[here[there]]
-            l[side, there], r[side, there] = left.shared(here[there], other[there]), right.shared(here[there], other[there])
-            met = met | there
-        whole = l + r >= min_words
-        known = np.bitwise_or.reduce(np.where(whole, _bits(np.maximum(min_words - r, 0), l), np.uint64(0)), axis=0)
+            there[there] = (anchor[other[there]] == anchor[here[i[there]]]) & (doc[other[there]] != doc[here[i[there]]])
+            i, other = i[there], other[there]
+            l, r = left.shared(here[i], other), right.shared(here[i], other)  # noqa: E741
+            best_l[i], best_r[i] = np.maximum(best_l[i], l), np.maximum(best_r[i], r)
+            whole = l + r >= min_words
+            i, l, r = i[whole], l[whole], r[whole]  # noqa: E741
+            known[i] |= _bits(np.maximum(min_words - r, 0), l)
+            span_l[i], span_r[i] = np.maximum(span_l[i], l), np.maximum(span_r[i], r)
+            return there
+
+        every = np.arange(len(here))
+        for other in (before, behind):
+            met = met | meet(every, other[here])
         if by_right:
-            bound = np.where(unknown[here], right.lengths[here], r.max(axis=0))
+            bound = np.where(unknown[here], right.lengths[here], best_r)
             possible = _bits(np.maximum(min_words - bound, 0), left.lengths[here])
         else:
-            bound = np.where(unknown[here], left.lengths[here], l.max(axis=0))
+            bound = np.where(unknown[here], left.lengths[here], best_l)
             possible = _bits(np.maximum(min_words - right.lengths[here], 0), bound)
-        mask = np.where(met, possible & ~known, np.uint64(0)).view(np.int64)
-        # both matches hold the suffix's place, so they join to one span
-        some = np.flatnonzero(whole.any(axis=0))
+        possible &= np.where(met, _bits(np.asarray(rows.column("low"))[here], np.asarray(rows.column("high"))[here]), np.uint64(0))
+        # farther ones give no new bound, but may hold windows that the nearest lack: in a family with scattered edits most do
+        for step in range(1, FARTHER):
+            still = np.flatnonzero(possible & ~known)
+            if not len(still):
+                break
+            meet(still, before[here[still]] - step)
+            meet(still, behind[here[still]] + step)
+        mask = (possible & ~known).view(np.int64)
+        # all matches hold the suffix's place, so they join to one span
+        some = np.flatnonzero(span_r)
         places = rows.column("places").take(pa.array(here[some]))
         times = np.asarray(pc.list_value_length(places), dtype=np.int64)
         at, some = np.asarray(places.flatten(), dtype=np.int64), np.repeat(some, times)
-        l, r = np.where(whole, l, 0).max(axis=0), np.where(whole, r, 0).max(axis=0)  # noqa: E741
-        left_open = np.flatnonzero(mask)
-        nulls = pa.nulls(len(some), pa.int64())
-        spans = [np.zeros(len(some), np.int32), doc[here[some]], at - l[some], at + r[some], nulls, nulls]
-        opens = [np.full(len(left_open), 1 if by_right else 2, np.int32), doc[here[left_open]], np.asarray(rows.column("pos"))[here[left_open]], pa.nulls(len(left_open), pa.int64()), anchor[here[left_open]], mask[left_open]]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pa.array(b)]) for a, b in zip(spans, opens)], names=["kind", "doc_id", "x", "y", "anchor", "mask"])
+        l, r = span_l, span_r  # noqa: E741
+        spans = shaped({"kind": np.zeros(len(some), np.int32), "doc_id": doc[here[some]], "x": at - l[some], "y": at + r[some]}, len(some))
+        i = every if all_masks else np.flatnonzero(mask)
+        kind = (1 if by_right else 2) + (2 if all_masks else 0)
+        opens = shaped({"kind": np.full(len(i), kind, np.int32), "doc_id": doc[here[i]], "x": np.asarray(rows.column("pos"))[here[i]], "anchor": anchor[here[i]], "mask": mask[i], "places": rows.column("places").take(pa.array(here[i]))}, len(i))
+        return pa.Table.from_batches([spans, opens]).combine_chunks().to_batches(max_chunksize=None)[0] if len(some) + len(i) else spans
 
-    return run
+    return across if edges else run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,32 +314,42 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 12, id_col:
     wanted = written(wanted, f"{base}/wanted")
     ids = wanted.select("doc_id")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    near = texts.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(k, min_words - k, min_words), "doc_id long, pos long, anchor long, left binary, right binary, places array<long>")
-    near = written(near, f"{base}/contexts")
+    near = texts.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(k, min_words - k, min_words), "doc_id long, pos long, anchor long, left binary, right binary, places array<long>, low long, high long")
+    near = written(near.withColumn("pos", F.xxhash64("doc_id", "anchor", "left", "right")), f"{base}/contexts")
     for name in ("suffixes", "wanted"):
         remove(spark, f"{base}/{name}")
     compared = None
     for order in (["anchor", "right", "left"], ["anchor", "left", "right"]):
-        rows = near.orderBy(*order, "doc_id", "pos").mapInArrow(_compare(order[1] == "right", min_words, k), "kind int, doc_id long, x long, y long, anchor long, mask long")
-        rows = written(rows, f"{base}/{order[1]}")
+        by_right = order[1] == "right"
+        rows = written(near.orderBy(*order, "doc_id", "pos").mapInArrow(_compare(by_right, min_words, k), COMPARED_SCHEMA), f"{base}/{order[1]}")
+        # some rows of each partition, dealt by border
+        edges = rows.where("kind > 4").select("border", F.col("kind").alias("side"), "doc_id", F.col("x").alias("pos"), "anchor", "places", "left", "right", "low", "high")
+        edges = edges.repartition("border").sortWithinPartitions("border", F.desc("side"), *order, "doc_id", "pos").mapInArrow(_compare(by_right, min_words, k, edges=True), COMPARED_SCHEMA)
+        rows = rows.where("kind < 5").unionByName(edges)
         compared = rows if compared is None else compared.unionByName(rows)
+    joined = F.aggregate(
+        F.sort_array(F.collect_set(F.struct("start", "end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda s, x: F.when((F.size(s) > 0) & (F.get(s, F.size(s) - 1)["end"] >= x["start"]),
+                            F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.get(s, F.size(s) - 1)["start"].alias("start"), F.greatest(F.get(s, F.size(s) - 1)["end"], x["end"]).alias("end")))))
+        .otherwise(F.concat(s, F.array(x))))
     spans = compared.where("kind = 0").select("doc_id", F.col("x").alias("start"), F.col("y").alias("end"))
-    both = F.bit_or(F.when(F.col("kind") == 1, F.col("mask"))).bitwiseAND(F.bit_or(F.when(F.col("kind") == 2, F.col("mask"))))
-    windows = compared.where("kind > 0").groupBy("doc_id", "x", "anchor").agg(both.alias("mask")).where("mask <> 0")
-    windows = windows.groupBy("anchor").agg(F.bit_or("mask").alias("mask"))
-    windows = written(windows.select("anchor", F.explode(F.filter(F.sequence(F.lit(0), F.lit(w - 1)), lambda j: F.getbit("mask", j) == 1)).alias("j")), f"{base}/windows")
-    held = near.join(F.broadcast(windows) if windows.count() <= BROADCAST_IDS else windows, "anchor").where(f"octet_length(left) >= 4 * j and octet_length(right) >= 4 * ({min_words} - j)")
+    spans = written(spans.groupBy("doc_id").agg(joined.alias("spans")), f"{base}/spans")
+
+    # windows that a document's spans hold already need no answer
+    one = lambda kind: F.bit_or(F.when(F.col("kind") == kind, F.col("mask")))
+    both = one(1).bitwiseAND(one(2)).bitwiseAND(F.coalesce(one(3), F.lit(-1).cast("long"))).bitwiseAND(F.coalesce(one(4), F.lit(-1).cast("long")))
+    opened = compared.where("kind between 1 and 4").groupBy("doc_id", "x", "anchor").agg(both.alias("mask"), F.first("places").alias("places")).where("mask <> 0").join(spans, "doc_id", "left")
+    begins = F.filter(F.sequence(F.lit(0), F.lit(w - 1)), lambda j: (F.getbit("mask", j) == 1) & F.exists("places", lambda p: ~F.coalesce(F.exists("spans", lambda s: (s["start"] <= p - j) & (p - j + min_words <= s["end"])), F.lit(False))))
+    windows = written(opened.select("anchor", F.explode(begins).alias("j")).distinct(), f"{base}/windows")
+    for name in ("right", "left"):
+        remove(spark, f"{base}/{name}")
+    held = near.join(F.broadcast(windows) if windows.count() <= BROADCAST_IDS else windows, "anchor").where(f"j between low and high and octet_length(left) >= 4 * j and octet_length(right) >= 4 * ({min_words} - j)")
     parts = [F.expr("substring(left, 1, 4 * j)"), F.expr(f"substring(right, 1, 4 * ({min_words} - j))")]
     held = written(held.select("anchor", "j", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("window"), *parts).alias("h2"), "doc_id", "places"), f"{base}/held")
     shared = held.groupBy("anchor", "j", "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").drop("lo", "hi")
     settled = held.join(shared, ["anchor", "j", "h1", "h2"], "left_semi").select("doc_id", F.explode("places").alias("p"), "j")
-    spans = spans.unionByName(settled.select("doc_id", (F.col("p") - F.col("j")).alias("start"), (F.col("p") - F.col("j") + min_words).alias("end")))
-    merged = F.aggregate(
-        F.sort_array(F.collect_set(F.struct("start", "end"))), F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda s, x: F.when((F.size(s) > 0) & (F.get(s, F.size(s) - 1)["end"] >= x["start"]),
-                            F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.get(s, F.size(s) - 1)["start"].alias("start"), F.greatest(F.get(s, F.size(s) - 1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(s, F.array(x))))
-    found = spans.groupBy("doc_id").agg(merged.alias("spans"))
+    settled = settled.select("doc_id", (F.col("p") - F.col("j")).alias("start"), (F.col("p") - F.col("j") + min_words).alias("end"))
+    found = spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end").unionByName(settled).groupBy("doc_id").agg(joined.alias("spans"))
     whole = docs.join(copies.select("doc_id", "n_copies"), "doc_id").select("doc_id", "n_copies", F.size(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")).cast("long").alias("n"))
     whole = whole.where(F.col("n") >= min_words).groupBy("doc_id").agg(F.max("n_copies").alias("n_copies"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.max("n").alias("end"))).alias("whole"))
     out = found.join(whole, "doc_id", "full_outer").select("doc_id", F.coalesce("whole", "spans").alias("spans"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
