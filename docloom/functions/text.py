@@ -13,6 +13,8 @@ THAI = "฀-๿"
 HEADING = "|".join([r"^บท\s*ที่\s*\d+", r"^หมวด\s*ที่?\s*\d+", r"^ภาคผนวก", r"^บท\s*\d+", r"^(?:\d+\.)+\s+", r"^\d+\)\s+", r"^[A-Za-zก-๙]+\s*:\s+"])
 BULLET = "|".join([r"^[\-•–]\s+", r"^[ก-ฮ]\)\s+", r"^\([ก-ฮ]\)\s+", r"^\([0-9]+\)\s+"])
 BULLET_LINE = r"^([\-•–*]|\d+[.)]|[ก-ฮ]\)|\([0-9]+\)|\([ก-ฮ]\))\s+"
+#: White space as Python's str.strip and \\s know it.
+SPACE = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 SENTENCE_END = ".!?…ฯ๛ๆ"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<!\d)(?:\+?\d{1,3}[- .]?)?(?:\d{2,4}[- .]?){2,4}\d{2,4}(?!\d)"
@@ -29,26 +31,52 @@ def nfc(text: Column) -> Column:
 
 
 def normalize_text(text: Column, preserve_newlines: bool = True, compose: bool = True) -> Column:
-    """Line ends, invisible and control characters, runs of blanks; NFC unless ``compose`` is off."""
+    """Line ends, invisible and control characters, runs of blanks, lines stripped; NFC unless ``compose`` is off."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
     t = nfc(t) if compose else t
     t = F.translate(t, "\u00a0\u200b\u200c\u200d\ufeff", " ")
-    t = F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", "")
+    t = F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
     if not preserve_newlines:
-        return F.trim(F.regexp_replace(t, "[ \\t\\n]+", " "))
-    t = F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), " *\\n *", "\n")
-    return F.trim(F.regexp_replace(t, "\\n{3,}", "\n\n"))
+        return strip(F.regexp_replace(t, f"[{SPACE}]+", " "))
+    blank = f"[{SPACE}&&[^\n]]"
+    t = F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), f"{blank}*\n{blank}*", "\n")
+    return F.regexp_replace(F.regexp_replace(t, f"^{blank}+|{blank}+\\z", ""), "\\n{3,}", "\n\n")
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
 
 
 def tidy_thai(text: Column) -> Column:
-    """Drops white space between Thai letters, pair by pair, and runs of blanks."""
-    return F.regexp_replace(F.regexp_replace(text, f"([{THAI}])\\s+([{THAI}])", "$1$2"), "[ \\t]{2,}", " ")
+    """Drops white space between Thai letters, pair by pair; runs of blanks and tabs become one blank."""
+    return F.regexp_replace(F.regexp_replace(text, f"([{THAI}])[{SPACE}]+([{THAI}])", "$1$2"), "[ \\t]+", " ")
 
 
 def clean_for_index(text: Column, compose: bool = True) -> Column:
     t = F.regexp_replace(normalize_text(text, compose=compose), "([A-Za-z0-9])-\\n([A-Za-z0-9])", "$1$2")
-    t = tidy_thai(F.regexp_replace(t, "\\n{3,}", "\n\n"))
-    return F.regexp_replace(t, "^\\s+|\\s+$", "")
+    return strip(tidy_thai(F.regexp_replace(t, "\\n{3,}", "\n\n")))
+
+
+def smart_paragraphs(text: Column, longest: int = 1200, packed: int = 600) -> Column:
+    """Paragraphs of a text as an array: blocks between blank lines, bullet lines by themselves, and
+    paragraphs over ``longest`` characters as sentences packed up to ``packed``; at least two characters each."""
+    mark, alone = "\x01", "\x02"  # between paragraphs; before a bullet line
+    t = F.regexp_replace(strip(F.translate(F.coalesce(text, F.lit("")), mark + alone, "  ")), f"\n[{SPACE}]*\n+", f"\n{mark}\n")
+    t = F.regexp_replace(t, f"[{SPACE}&&[^\n]]+\n", "\n")
+    in_line = BULLET_LINE.removesuffix("\\s+") + f"[{SPACE}&&[^\n]]+"  # white space of this line, not the next
+    t = F.regexp_replace(t, f"(?m){in_line}[^\n]*", mark + alone + "$0" + mark)
+    parts = F.filter(F.transform(F.split(t, f"[{mark}\n]*{mark}[{mark}\n]*"), strip), lambda x: x != "")
+
+    def pack(x: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+        full = lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(strip(s["now"])))).otherwise(s["done"])
+        some = F.filter(F.transform(sentences(x), strip), lambda y: y != "")
+        return F.aggregate(some, start, lambda s, y: F.when(
+            F.length(s["now"]) + 1 + F.length(y) > packed, F.struct(full(s).alias("done"), y.alias("now")))
+            .otherwise(F.struct(s["done"].alias("done"), strip(F.concat(s["now"], F.lit(" "), y)).alias("now"))), full)
+
+    cut = F.flatten(F.transform(parts, lambda x: F.when((F.length(x) > longest) & ~x.startswith(alone), pack(x)).otherwise(F.array(F.ltrim(x, F.lit(alone))))))
+    return F.filter(cut, lambda x: F.length(x) >= 2)
 
 
 def strip_markdown(text: Column) -> Column:
@@ -86,7 +114,7 @@ def counted_tokens(text: Column) -> Column:
 def redact(text: Column) -> Column:
     """E-mail addresses, then phone numbers, then 13-digit numbers."""
     t = F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")
-    return F.regexp_replace(F.regexp_replace(t, PHONE, "[REDACTED_PHONE]"), NATIONAL_ID, "[REDACTED_NATID]")
+    return F.regexp_replace(F.regexp_replace(t, PHONE, "[REDACTED_PHONE]"), NATIONAL_ID, "[REDACTED_ID]")
 
 
 def index_tokens(text: Column) -> Column:
@@ -100,3 +128,14 @@ def chunk_id(path: Column, page: Column, index: Column) -> Column:
 
 def page_number(value: Column) -> Column:
     return F.coalesce(value.try_cast("int"), F.lit(0))
+
+
+def sanitized_query(text: Column) -> Column:
+    """A question without the characters that have a meaning in match expressions; quotes are doubled."""
+    return F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit('""')), "[/()\\-:*?\\[\\]{}]", " ")
+
+
+def citation(source: Column, path: Column, page: Column) -> Column:
+    """``source:page``; the path stands in for a missing source, and a missing page is left out."""
+    name = F.coalesce(F.nullif(source, F.lit("")), F.nullif(path, F.lit("")), F.lit("unknown"))
+    return F.concat(name, F.coalesce(F.concat(F.lit(":"), page.cast("string")), F.lit("")))

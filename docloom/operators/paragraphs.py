@@ -18,12 +18,13 @@ def tagged(paras: DataFrame) -> DataFrame:
     return rows.withColumn("is_heading", is_heading(F.col("text"))).withColumn("is_bullet", is_bullet(F.col("text")))
 
 
-def bullet_islands(paras: DataFrame, group: str, order: str) -> DataFrame:
-    """Runs of bullet paragraphs become one, joined by line feeds, with the first one's place."""
+def bullet_islands(paras: DataFrame, group: str, order: str, *carried: str) -> DataFrame:
+    """Runs of bullet paragraphs become one, joined by line feeds, with the first one's place and ``carried`` columns."""
     w = W.partitionBy(group).orderBy(order)
     rows = tagged(paras).withColumn("prev", F.coalesce(F.lag("is_bullet").over(w), F.lit(False)))
     rows = rows.withColumn("island", F.sum((~(F.col("is_bullet") & F.col("prev"))).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(group, "island").agg(F.min(order).alias(order), F.count("*").alias("n_paras"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("text"))
+    first = [F.min_by(c, order).alias(c) for c in carried]
+    return rows.groupBy(group, "island").agg(F.min(order).alias(order), F.count("*").alias("n_paras"), *first, F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
 def edge_lines(pages: DataFrame, n: int = 2) -> DataFrame:
@@ -53,12 +54,12 @@ def strip_headers_footers(pages: DataFrame, window: int = 4) -> DataFrame:
     return rows.select("source", "page_no", body.alias("body"), F.trim(F.get("l", F.col("h"))).alias("header"), F.trim(F.get("l", F.col("f"))).alias("footer"))
 
 
-def fold_paragraphs(paras: list[tuple[int, str, bool]], most: int = 800, overlap: float = 0.12, compat: bool = True) -> list[dict]:
+def fold_paragraphs(paras: list[tuple[int, str, bool]], most: int = 800, overlap: float = 0.12, compat: bool = True, heading_tail: bool = True) -> list[dict]:
     """The chunks of one source's ordered paragraphs (page, text, is_heading).
 
     ``compat`` keeps two quirks: a closed chunk is prefixed with its own tail, and of a paragraph over
     the budget only the last sentence buffer stays. Without it the tail goes to the next chunk and all
-    buffers stay."""
+    buffers stay. Without ``heading_tail`` a chunk that a heading closes gets no tail, as in the batch script."""
     est = lambda t: max(1, ceil(len(t) / 4))
     out: list[dict] = []
     held: list[tuple[int, str]] = []
@@ -77,7 +78,7 @@ def fold_paragraphs(paras: list[tuple[int, str, bool]], most: int = 800, overlap
 
     for page, text, heading in paras:
         if heading and held:
-            close(True)
+            close(heading_tail)
         size = est(text)
         if state["used"] + size > most:
             close(True)
@@ -98,15 +99,29 @@ def fold_paragraphs(paras: list[tuple[int, str, bool]], most: int = 800, overlap
     return out
 
 
-def chunks(paras: DataFrame, group: str, order: str, page: str, most: int = 800, compat: bool = True) -> DataFrame:
-    """Chunks of each group: an ordered fold, one group to a task."""
+def chunks(paras: DataFrame, group: str, order: str, page: str, most: int = 800, compat: bool = True, heading_tail: bool = True) -> DataFrame:
+    """Chunks of each group, bullets in a row taken together: an ordered fold, one group (a document) to a task."""
     import pandas as pd
 
     kind = paras.schema[group].dataType.simpleString()
 
     def run(key, pdf):
         pdf = pdf.sort_values("place")
-        rows = fold_paragraphs(list(zip(pdf["page"], pdf["text"], pdf["is_heading"])), most, compat=compat)
+        rows = fold_paragraphs(list(zip(pdf["page"], pdf["text"], pdf["is_heading"])), most, compat=compat, heading_tail=heading_tail)
         return pd.DataFrame([{group: key[0], "chunk": i} | r for i, r in enumerate(rows)], columns=[group, "chunk", "text", "page_start", "page_end", "tokens_est"])
 
-    return tagged(paras).select(group, F.col(order).alias("place"), F.col(page).cast("long").alias("page"), "text", "is_heading").groupBy(group).applyInPandas(run, f"{group} {kind}, chunk long, text string, page_start long, page_end long, tokens_est long")
+    rows = paras.withColumn("_page", F.col(page).cast("long")).withColumn("_place", F.col(order))
+    rows = bullet_islands(rows.select(group, "_place", "_page", "text"), group, "_place", "_page", "is_heading")
+    return rows.select(group, F.col("_place").alias("place"), F.col("_page").alias("page"), "text", "is_heading").groupBy(group).applyInPandas(run, f"{group} {kind}, chunk long, text string, page_start long, page_end long, tokens_est long")
+
+
+def numbered(df: DataFrame, name: str, path: str, *order: str) -> DataFrame:
+    """``df`` with its rows' ordinal from 0 over the whole table: a range-partitioned sort, written below
+    ``path``, whose partitions' sizes are added up."""
+    rows = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows.write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = sizes.select("_part", before.alias("_before"))
+    return rows.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))

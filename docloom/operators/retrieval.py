@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docloom.functions.text import counted_tokens, estimated_tokens, index_tokens
+from docloom.functions.quality import hash_vector, script_ratios
+from docloom.functions.text import citation, counted_tokens, estimated_tokens, index_tokens, redact
+from docloom.operators.store import denied, route
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+# The instruction before a prompt and the reply to a denied question.
+INSTRUCTION = "คุณคือผู้ช่วยของภาควิชาวิศวกรรมคอมพิวเตอร์ ใช้เฉพาะข้อมูลอ้างอิงในการตอบ ถ้าไม่มีข้อมูลให้ตอบว่าไม่พบ.\n\n"
+REFUSAL = "คำขอไม่อยู่ในขอบเขตการให้บริการ"
 #: Query sets are broadcast up to so many rows; beyond, Spark joins by shuffling.
 BROADCAST_QUERIES = 10_000
 
@@ -27,21 +34,51 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(index_tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
 
 
-def term_weights(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Okapi weights; negative ones become a share of the mean weight over all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def frequencies(docs: DataFrame) -> DataFrame:
+    """``(term, df)``: each document's distinct terms, counted on the map side before the one shuffle."""
+    return docs.select(F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """Okapi weights of ``terms(term, df)``; negative ones become a share of the mean weight over all terms."""
+    df = terms.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean_idf"))
     return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
-def bm25_scores(questions: DataFrame, docs: DataFrame, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
-    posts = postings(docs, id_col)
-    asked = questions.select(query_id, F.explode(index_tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    weights = term_weights(posts, corpus_stats(docs))
-    hits = posts.join(bounded(asked, 200_000), "term").join(weights, "term")
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", parts: int = 64) -> None:
+    """A BM25 index below ``path``: weights, and postings in folders by the term's hash; both are sorted by term."""
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    weights = term_weights(frequencies(docs), corpus_stats(docs))
+    weights.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
+    rows = postings(docs, id_col).withColumn("part", part)
+    rows.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+
+
+def index_scores(questions: DataFrame, path: str, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
+    """BM25 scores from a written index, reading the asked terms' postings."""
+    read = questions.sparkSession.read.parquet
+    asked = asked_terms(questions, query_id)
+    return _scored(read(f"{path}/postings"), read(f"{path}/weights"), asked, query_id, id_col)
+
+
+def asked_terms(questions: DataFrame, query_id: str) -> DataFrame:
+    return questions.select(query_id, F.explode(index_tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+
+
+def _scored(posts: DataFrame, weights: DataFrame, asked: DataFrame, query_id: str, id_col: str) -> DataFrame:
+    asked = asked.join(weights, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("score"))
+    return posts.join(bounded(asked, 200_000), "term").groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25_scores(questions: DataFrame, docs: DataFrame, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
+    """Scores without an index: only the asked terms' words are counted and shuffled."""
+    asked = asked_terms(questions, query_id)
+    words = docs.select(F.col(id_col), index_tokens(F.col("text")).alias("w")).select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    words = words.join(bounded(asked.select("term").distinct(), 200_000), "term", "left_semi")
+    posts = words.groupBy("term", id_col, "dl").agg(F.count("*").alias("tf"))
+    return _scored(posts, term_weights(frequencies(docs), corpus_stats(docs)), asked, query_id, id_col)
 
 
 def top(df: DataFrame, query_id: str, k: int, *order: Column) -> DataFrame:
@@ -71,16 +108,61 @@ def match_boolean(questions: DataFrame, docs: DataFrame, query_id: str = "item_i
     return found.join(bounded(sizes), query_id).where(good).select(query_id, id_col)
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, dim: int | None = None) -> Column:
+    """With ``dim``, a sum written out, which Spark compiles; else a fold over vectors of any length."""
+    if dim:
+        return sum((F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(dim)), F.lit(0.0))
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int, dim: int | None = None) -> DataFrame:
     """``queries(query_id, q)`` against every vector; a bounded query set is broadcast."""
-    scored = vectors.join(bounded(queries, 1000), F.lit(True)).withColumn("score", F.round(dot(F.col("q"), F.col("embedding")), 6) + 0.0)
+    scored = vectors.join(bounded(queries, 1000), F.lit(True)).withColumn("score", F.round(dot(F.col("q"), F.col("embedding"), dim), 6) + 0.0)
     return top(scored, "query_id", k, F.desc("score"), F.col("vec_id"))
 
 
+def unit(v: Column) -> Column:
+    """A vector at length 1; the null vector stays."""
+    size = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x.cast("double")))
+
+
+def hybrid(questions: DataFrame, docs: DataFrame, k: int, k_vec: int = 30, k_kw: int = 30, query_id: str = "item_id", id_col: str = "doc_id", embed: Callable[[Column], Column] = hash_vector, dim: int | None = 32) -> DataFrame:
+    """Vector leg (cosine) and keyword leg (BM25), fused by reciprocal ranks; ``embed`` makes a text's vector of ``dim`` numbers.
+
+    Each leg keeps its best per question in every partition before they are merged."""
+    asked = questions.select(F.col(query_id).alias("query_id"), unit(embed(F.col("text"))).alias("q"))
+    vectors = docs.select(F.col(id_col).alias("vec_id"), unit(embed(F.col("text"))).alias("embedding"))
+    near = vector_top(asked, vectors, k_vec, dim).select(F.col("query_id").alias(query_id), F.col("vec_id").alias(id_col), "rank")
+    kw = top(bm25_scores(questions, docs, query_id, id_col), query_id, k_kw, F.desc("score"), F.col(id_col))
+    return fuse([near, kw], query_id, id_col, k)
+
+
+def rag_query(questions: DataFrame, docs: DataFrame, budget: int = 1200, k: int = 8, query_id: str = "item_id", id_col: str = "doc_id", **options) -> DataFrame:
+    """``(query, prompt, contexts, token_est)``: retrieved by both legs, packed, and put into a prompt with its instruction.
+
+    ``docs`` has id, text, source, path and page columns (the last three may be null)."""
+    hits = hybrid(questions, docs, k, 20, 30, query_id, id_col, **options)
+    rows = hits.join(docs, id_col).withColumn("cite", citation(F.col("source"), F.col("path"), F.col("page")))
+    packed = pack_context(rows, query_id, budget)
+    contexts = rows.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("rank", id_col, "source", "path", "page", "rrf"))).alias("contexts"))
+    out = questions.select(query_id, "text").join(contexts, query_id).join(packed, query_id, "left")
+    ctx, cites = F.coalesce("ctx", F.lit("")), F.coalesce("cites", F.lit(""))
+    return out.select(query_id, prompt(F.col("text"), ctx, cites, INSTRUCTION).alias("prompt"), "contexts", estimated_tokens(ctx).alias("token_est"))
+
+
+def answers(asked: DataFrame, generate: Callable[[Column, Column], Column], hint: str | None = None) -> DataFrame:
+    """``asked(question, ctx, cites, ...)`` with model and answer: denied, or routed, generated and redacted.
+
+    ``generate(model, prompt)`` is the seam for a model: any Column function, an Arrow UDF included."""
+    thai = script_ratios(F.coalesce("question", F.lit("")))[0] + script_ratios(F.coalesce("ctx", F.lit("")))[0]
+    model = route(F.coalesce("question", F.lit("")), thai, F.col("ctx"), F.lit(hint) if hint else None)
+    no = denied(F.coalesce("question", F.lit("")))
+    rows = asked.withColumn("model", F.when(no, "deny").otherwise(model)).withColumn("_prompt", prompt(F.col("question"), F.coalesce("ctx", F.lit("")), F.coalesce("cites", F.lit(""))))
+    said = redact(generate(F.col("model"), F.col("_prompt")))
+    return rows.withColumn("answer", F.when(F.col("model") == "deny", REFUSAL).otherwise(said)).drop("_prompt")
+
+
 def fit_dimension(embedding: Column, dim: int) -> Column:
     """Cut to ``dim``, or filled up with the mean."""
     mean = F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(embedding)
@@ -121,5 +203,5 @@ def pack_context(ranked: DataFrame, query_id: str, budget: int = 1200, cited: bo
                          F.array_join(F.transform("x", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["cite"])), "\n").alias("cites"))
 
 
-def prompt(question: Column, ctx: Column, cites: Column) -> Column:
-    return F.concat(F.lit("คำถาม:\n"), question, F.lit("\n\nบริบท:\n"), ctx, F.lit("\n\nอ้างอิง:\n"), cites, F.lit("\n"))
+def prompt(question: Column, ctx: Column, cites: Column, instruction: str = "") -> Column:
+    return F.concat(F.lit(instruction + "คำถาม:\n"), question, F.lit("\n\nบริบท:\n"), ctx, F.lit("\n\nอ้างอิง:\n"), cites, F.lit("\n"))

@@ -21,8 +21,12 @@ def upsert(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
-def route(question: Column, thai_share: Column) -> Column:
-    return F.when((thai_share >= 0.55) | question.rlike(ROUTED), "A").otherwise("B")
+def route(question: Column, thai_share: Column, context: Column | None = None, hint: Column | None = None) -> Column:
+    """Model A for Thai or official questions, else B; ``thai_share`` is the sum of question's and context's
+    shares where there is a context. A hint of "A" or "B" decides."""
+    said = question.rlike(ROUTED) if context is None else question.rlike(ROUTED) | F.coalesce(context, F.lit("")).rlike(ROUTED)
+    chosen = F.when((thai_share >= 0.55) | said, "A").otherwise("B")
+    return chosen if hint is None else F.when(hint.isin("A", "B"), hint).otherwise(chosen)
 
 
 def denied(question: Column) -> Column:

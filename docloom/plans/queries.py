@@ -12,6 +12,8 @@ from docloom.operators import pages as G
 from docloom.operators import paragraphs as P
 from docloom.operators import retrieval as R
 from docloom.operators import store as S
+from docloom.plans import ingest as I
+from docloom.sources.scratch import scratch
 
 _QUERIES, _SQL = {}, {}
 NBSP, ZWSP = " ", "​"
@@ -50,12 +52,12 @@ DIRTY = f"select doc_id, concat('  ', replace(replace(text, ' ', '{NBSP} \t{ZWSP
 
 def thai_mix(spark, d):
     c = t(spark, d, "conversations")
-    x = F.when(F.col("conv_id") % 3 == 0, "ระเบียบ การ รับสมัคร นักศึกษา").when(F.col("conv_id") % 3 == 1, F.concat(F.lit("ทุน การศึกษา "), F.left("text", F.lit(20)))).otherwise(F.col("text"))
+    x = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("ระเบียบ การ รับสมัคร\tนักศึกษา a\tb "), F.col("text"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("ทุน การศึกษา "), F.col("text"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", x.alias("text"))
 
 
-THAI_MIX = "select conv_id, turn, case conv_id % 3 when 0 then 'ระเบียบ การ รับสมัคร นักศึกษา' when 1 then concat('ทุน การศึกษา ', left(text, 20)) else text end as text from conversations"
-TIDY = lambda c: f"regexp_replace(regexp_replace({c}, '([฀-๿])\\s+([฀-๿])', '\\1\\2', 'g'), '[ \\t]{{2,}}', ' ', 'g')"
+THAI_MIX = "select conv_id, turn, case conv_id % 3 when 0 then concat('ระเบียบ การ รับสมัคร', chr(9), 'นักศึกษา a', chr(9), 'b ', text) when 1 then concat('ทุน การศึกษา ', text) else text end as text from conversations"
+TIDY = lambda c: f"regexp_replace(regexp_replace({c}, '([฀-๿])\\s+([฀-๿])', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g')"
 
 
 def outline(spark, d):
@@ -197,6 +199,25 @@ def sheet_text(spark, d):
     return n.select("n_nationkey", F.array_join(cells, " | ").alias("line"))
 
 
+@query()
+def ingest_chunks(spark, d):
+    """Every document as a file of one page, to numbered and flagged chunks."""
+    pages = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit(1).alias("page_no"), "text")
+    rows = I.flagged_chunks(pages, f"{scratch(spark)}/numbered")
+    return rows.select(F.col("source").cast("long").alias("doc_id"), "chunk", F.col("chunk_id").alias("ordinal"), F.col("doc_id").alias("chunk_key"), "status", "tokens_est", F.sha1("text").alias("digest"))
+
+
+@query()
+def chunk_pages_notebook(spark, d):
+    return P.chunks(outline(spark, d), "conv_id", "turn", "turn", heading_tail=False).select("conv_id", "chunk", F.sha1("text").alias("digest"), "page_start", "page_end", "tokens_est")
+
+
+@query(r"""select item_id, regexp_replace(replace(concat('(', text, '): "', text, '" - a/b?'), '"', '""'), '[/()\-:*?\[\]{}]', ' ', 'g') as asked from benchmark""")
+def query_sanitized(spark, d):
+    x = F.concat(F.lit("("), "text", F.lit('): "'), "text", F.lit('" - a/b?'))
+    return t(spark, d, "benchmark").select("item_id", T.sanitized_query(x).alias("asked"))
+
+
 @query()
 def chunk_pages(spark, d):
     return P.chunks(outline(spark, d), "conv_id", "turn", "turn").select("conv_id", "chunk", F.sha1("text").alias("digest"), "page_start", "page_end", "tokens_est")
@@ -263,7 +284,7 @@ def page_fallback(spark, d):
 @query(f"with {BM} select term, df, round(idf, 6) as idf from idf")
 def bm25_index_stats(spark, d):
     docs = t(spark, d, "documents")
-    return R.term_weights(R.postings(docs), R.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(R.frequencies(docs), R.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {BM} select item_id, doc_id, score, rk from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rk from sc) where rk <= 10")
@@ -321,19 +342,25 @@ def hash_vectors(spark, d):
     return v.select("doc_id", F.round(F.element_at("v", -1) * 9973).cast("long").alias("last_value"))
 
 
+BYTES = """case when {t} = '' then '0' else {t} end"""
+_VECTOR = lambda t, id_, name, where="": f"""{name}_b as (select {id_}, encode({BYTES.format(t="text")}) as b from {t} {where}),
+{name}_c as (select {id_}, i, ('0x' || hex(b)[(i % least(32, octet_length(b))) * 2 + 1:(i % least(32, octet_length(b))) * 2 + 2])::bigint * (i + 1) as x from {name}_b, range(32) r(i)),
+{name}_s as (select {id_}, i, (sum(x) over (partition by {id_} order by i) % 9973)::double / 9973 as x from {name}_c),
+{name} as (select {id_}, list(x order by i) as v from {name}_s group by {id_})"""
+NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 LEGS = f"""{BM}, kw as (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rk from sc),
-v as (select item_id, doc_id, row_number() over (partition by item_id order by abs(bl - dl), doc_id) as rk from (select item_id, length(b.text) as bl, doc_id, length(d.text) as dl from benchmark b, documents d where item_id < 10)),
-u as (select item_id, doc_id, 0 as leg, rk from v where rk <= 30 union all select item_id, doc_id, 1, rk from kw where rk <= 30 and item_id < 10),
+{_VECTOR('documents', 'doc_id', 'dv')}, {_VECTOR('benchmark', 'item_id', 'qv')},
+du as (select doc_id, list_transform(v, lambda x: x / n) as v from (select *, {NORM.format(v='v')} as n from dv)),
+qu as (select item_id, list_transform(v, lambda x: x / n) as v from (select *, {NORM.format(v='v')} as n from qv)),
+v as (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rk from (select item_id, doc_id, round(list_sum(list_transform(list_zip(qu.v, du.v), lambda z: z[1] * z[2])), 6) + 0.0 as score from qu, du)),
+u as (select item_id, doc_id, 0 as leg, rk from v where rk <= 30 union all select item_id, doc_id, 1, rk from kw where rk <= 30),
 g as (select item_id, doc_id, round(sum(1 / (60 + rk)), 8) as rrf, min(leg * 1000 + rk) as first_seen from u group by all),
 fused as (select item_id, doc_id, rrf, row_number() over (partition by item_id order by rrf desc, first_seen, doc_id) as rk from g)"""
 
 
 def _fused(spark, d, k):
-    docs, asked = t(spark, d, "documents"), t(spark, d, "benchmark").where("item_id < 10")
-    kw = R.top(R.bm25_scores(asked, docs), "item_id", 30, F.desc("score"), F.col("doc_id"))
-    near = docs.select("doc_id", F.length("text").alias("dl")).join(R.bounded(asked.select("item_id", F.length("text").alias("bl"))), F.lit(True))
-    near = R.top(near, "item_id", 30, F.abs(F.col("bl") - F.col("dl")), F.col("doc_id"))
-    return R.fuse([near, kw], "item_id", "doc_id", k)
+    """All questions against all documents; the hash vector stands in for an embedding."""
+    return R.hybrid(t(spark, d, "benchmark"), t(spark, d, "documents"), k)
 
 
 @query(f"with {LEGS} select item_id, doc_id, rrf, rk from fused where rk <= 12")
@@ -398,11 +425,59 @@ def redact_email(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha1(F.regexp_replace("text", T.EMAIL, "[REDACTED_EMAIL]")).alias("digest"))
 
 
+PERSONAL = "concat(text, ' id 1234567890123 end, a.b@ex-am.org; x1234567890123y')"
+
+
+@query(f"""select conv_id, turn, sha1(concat(regexp_replace(text, '{T.EMAIL}', '[REDACTED_EMAIL]', 'g'), ' id [REDACTED_PHONE] end, [REDACTED_EMAIL]; x[REDACTED_PHONE]y')) as digest
+from conversations where not regexp_matches(text, '[0-9]')""")
+def redact_planted(spark, d):
+    """Planted addresses and numbers behind texts without digits; a 13-digit number is a phone number first, as in the reference."""
+    c = t(spark, d, "conversations").where("not text rlike '[0-9]'")
+    return c.select("conv_id", "turn", F.sha1(T.redact(F.expr(PERSONAL))).alias("digest"))
+
+
 @query()
 def redact_pii(spark, d):
     return t(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
 
 
+@query()
+def smart_paragraphs(spark, d):
+    """Bullets are planted before every third line."""
+    x = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("- "), x)).otherwise(x)), "\n")
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(T.smart_paragraphs(x)).alias("pos", "text"))
+    return rows.select("doc_id", "pos", F.sha1("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def rag_query(spark, d):
+    """Whole composite: both legs, packed context, prompt."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "source", F.lit(None).cast("string").alias("path"), F.lit(1).alias("page"))
+    return R.rag_query(t(spark, d, "benchmark"), docs).select("item_id", "prompt", F.size("contexts").cast("long").alias("n_contexts"), "token_est")
+
+
+@query()
+def answered(spark, d):
+    """Denied, routed, generated and redacted; a generator that repeats its prompt stands in for a model."""
+    asked = t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.when(F.col("turn") % 8 == 6, F.concat("text", F.lit(" phishing"))).otherwise(F.col("text")).alias("question"), F.lit("").alias("ctx"), F.lit("").alias("cites"))
+    return R.answers(asked, lambda model, asked: F.concat(model, F.lit(": "), asked)).select("conv_id", "turn", "model", F.sha1("answer").alias("digest"))
+
+
+@query("select source, count(*) as n_flagged, row_number() over (order by count(*) desc, source) as rk from documents join labels using (doc_id) where quality = 0 group by source order by rk limit 10")
+def flagged_top_files(spark, d):
+    f = t(spark, d, "documents").join(t(spark, d, "labels").where("quality = 0"), "doc_id").groupBy("source").agg(F.count("*").alias("n_flagged"))
+    first = f.orderBy(F.desc("n_flagged"), "source").limit(10)
+    return first.withColumn("rk", F.row_number().over(W.orderBy(F.desc("n_flagged"), "source")).cast("long"))
+
+
+@query("""select rk, doc_id, case when length(text) > 150 then left(text, 150) || '...' else text end as preview, length(text) as n_chars
+from (select row_number() over (order by doc_id) as rk, * from documents join labels using (doc_id) where quality = 0) where rk <= 3""")
+def flagged_previews(spark, d):
+    f = t(spark, d, "documents").join(t(spark, d, "labels").where("quality = 0"), "doc_id").orderBy("doc_id").limit(3)
+    view = F.when(F.length("text") > 150, F.concat(F.left("text", F.lit(150)), F.lit("..."))).otherwise(F.col("text"))
+    return f.select(F.row_number().over(W.orderBy("doc_id")).cast("long").alias("rk"), "doc_id", view.alias("preview"), F.length("text").cast("long").alias("n_chars"))
+
+
 @query("select doc_id + 5 as doc_id, n_chars from documents where doc_id + 5 not in (select doc_id from documents)")
 def insert_or_ignore(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "n_chars")
