@@ -11,43 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, langid, line_dedup, near_dup, packing
-from docloom.llm.common import crc_mod, table, work_dir, written
+from docloom.llm.common import crc_mod, remove, table, work_dir, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a letter and whose language is at least as likely as all others together.
+    """Keeps documents that have a letter, whose language is at least as likely as all others together, and
+    whose text is typical of it: random letters and languages of another build than the learned ones go.
 
-    The model learns from the labelled documents outside the held-out third."""
+    The model learns from the labelled documents outside the held-out third. Null and empty texts go; rows with
+    a null id and repeated rows are judged like others; texts of any length are read whole; ties go to the
+    first language; an empty table, or one without labels, gives an empty table. Columns pass through."""
     model = langid.train(docs, crc_mod("doc_id", 3) != 1, public_tokenizers.path("piece_bpe_32k.model"))
     found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & F.col("typical")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated lines out of the texts; a document that loses all its text goes."""
+    """Cuts repeated lines out of the texts; a document that loses all its text goes.
+
+    Null and empty texts and rows with a null id stay as they are; of the ids that hold a line the largest
+    keeps it; repeated rows count once and all stay; an empty table stays empty. Columns pass through."""
     out = line_dedup.drop_repeated_lines(docs).where((F.col("n_dropped") == 0) | (F.length(F.btrim("text")) > 0))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
+    """Keeps the document with the smallest id of each near-duplicate group, at five words and a similarity of 0.8.
+
+    Null and blank texts are in no group and stay; rows with a null id can't be told apart and stay, and so do
+    all rows of an id that stays; an empty table stays empty. Columns pass through."""
     gone = near_dup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold passages of the benchmark."""
+    """Drops the documents that hold passages of the benchmark.
+
+    Null and empty texts hold none; rows with a null id stay; all rows of an id that holds one go; with an empty
+    table or benchmark nothing goes. Columns pass through."""
     leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 ids; null and empty texts are their end id alone, null ids
+    are carried along, repeated rows are packed each, an empty table gives no piece."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("benchmarks", benchmarks), ("pack", pack)]
 
-#: Language ID and packing have no SQL form; tests hold the stages against brute force.
+#: Language ID and packing have no SQL form; tests/llm holds the operators against brute force, and the stages against their operators.
 ORACLE_SQL = None
 
 
@@ -57,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"{base}/{i}-{name}")
+            if i:  # nothing reads the stage before any more
+                remove(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
