@@ -15,11 +15,14 @@ A capitalised word that begins a sentence may be a name or not. It equals the sa
 slot against a name or another such word; windows that hold some meet in each of these readings.
 
 A shared run of ``width + stride - 1`` words always holds one of the document's windows whole, so no
-passage of that length is missed; ``min_run`` must not be below it. Items of fewer than that many words
+passage of that length is missed whose windows have ``min_literals`` words that are no placeholders;
+windows with fewer are no keys, for rows of numbers or names would meet each other everywhere. ``min_run``
+must not be below that length. Items of fewer than that many words
 are compared with every window of the documents that is as long as the item.
 
 Null or empty texts have no template. Rows with a null id are ignored. Repeated rows give one result
-row. An empty documents or benchmark table gives an empty result; other columns are ignored.
+row. Of stretches of equal length the first counts. A text of any length is compared whole. An empty
+documents or benchmark table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table, work_dir, written
+from docloom.llm.common import finished, table, work_dir, written
 
 #: Up to so many benchmark windows (some 20 bytes each) are broadcast; beyond, they are shuffled.
 BROADCAST_WINDOWS = 1_000_000
+#: Items are broadcast with their words only while they have so many (some 20 bytes each) together.
+BROADCAST_WORDS = 1_000_000
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours day days week weeks month months year years percent usd eur gbp dollars dollar euros cents mph kmh hz w kw v degrees c f"
 
@@ -93,7 +98,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     readings = lambda df, n, *keep: df.select(*keep, "plain", "other", F.explode(differing(F.col("plain"), F.col("other"), n)).alias("mask")).select(*keep, reading(F.col("plain"), F.col("other"), F.col("mask"), n).alias("w"))
     windows = readings(at.select("item_id", "b", F.slice("canon", F.col("b"), width).alias("plain"), F.slice("named", F.col("b"), width).alias("other")), width, "item_id", "b").where(literals("w") >= min_literals)
     windows = written(windows.select(F.xxhash64("w").alias("h"), "b", "item_id").distinct(), f"{base}/windows")
-    small = windows.count() <= BROADCAST_WINDOWS
+    n_words = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
+    small = n_words <= BROADCAST_WORDS and windows.count() <= BROADCAST_WINDOWS
 
     # no function with a lambda up to the join: the template stays in place while its windows pass
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), template(F.col(text_col)).alias("t"))
@@ -158,7 +164,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     kept = lined.where(F.col("run.best") >= least)
     found = kept.select("doc_id", "item_id", (F.col("shift") + F.col("from") + F.col("run.end") - F.col("run.best")).cast("long").alias("at_word"), F.col("run.best").cast("long").alias("run_words"), F.size("item").cast("long").alias("item_words"))
     best = F.max(F.struct("run_words", (-F.col("at_word")).alias("at"), "item_words")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.at")).alias("at_word"), F.col("m.run_words").alias("run_words"), F.col("m.item_words").alias("item_words"))
+    out = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.at")).alias("at_word"), F.col("m.run_words").alias("run_words"), F.col("m.item_words").alias("item_words"))
+    return finished(out, base)
 
 
 def op1_template_decontamination(spark, sf_dir: str) -> DataFrame:

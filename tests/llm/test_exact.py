@@ -339,7 +339,9 @@ def test_decontamination(spark):
     assert got == {(1, 0), (2, 0), (6, 0), (7, 0), (8, 1)}
     whole = spark.createDataFrame([(1, bad)], "doc_id long, text string")
     runs = decontam.contaminated(whole, bench).collect()
-    assert all(r.run_words < len(QUESTION.split()) for r in runs)
+    assert [(r.item_id, r.at_word, r.run_words) for r in runs] == [(0, 0, 25)]  # up to the contradiction
+    long = spark.createDataFrame([(1, fill(30_000) + " " + LEAK + " " + fill(30_000))], "doc_id long, text string")
+    assert [(r.item_id, r.at_word) for r in decontam.contaminated(long, bench).collect()] == [(0, 30_000)]
     assert decontam.contaminated(empty(spark), bench).count() == 0
     assert decontam.contaminated(df, bench.where("false")).count() == 0
 
