@@ -56,7 +56,8 @@ def valid_ocr(text: Column, lang: Column, min_score: float = 0.7, min_length: in
 
 def hash_vector(text: Column, dim: int = 32) -> Column:
     """A vector from the first ``dim`` bytes, repeated cyclically; the empty text counts as "0"."""
-    raw = F.hex(F.substring(F.encode(F.when(text == "", "0").otherwise(text), "UTF-8"), 1, dim))
+    # the first ``dim`` characters hold the first ``dim`` bytes
+    raw = F.hex(F.substring(F.encode(F.when(text == "", "0").otherwise(F.left(text, F.lit(dim))), "UTF-8"), 1, dim))
     byte = lambda i: F.conv(F.substr(raw, (i % (F.length(raw) / 2).cast("int")) * 2 + 1, F.lit(2)), 16, 10).cast("long")
     terms = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(i) * (i + 1))
     sums = F.aggregate(terms, F.array().cast("array<bigint>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0).cast("long")) + x)))

@@ -123,8 +123,8 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, dim: int | None =
 
 def unit(v: Column) -> Column:
     """A vector at length 1; the null vector stays."""
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x.cast("double")))
+    sizes = F.array_repeat(F.sqrt(dot(v, v)), F.size(v))  # an argument, so computed once and not for every number
+    return F.zip_with(v, sizes, lambda x, size: F.when(size > 0, x / size).otherwise(x.cast("double")))
 
 
 def hybrid(questions: DataFrame, docs: DataFrame, k: int, k_vec: int = 30, k_kw: int = 30, query_id: str = "item_id", id_col: str = "doc_id", embed: Callable[[Column], Column] = hash_vector, dim: int | None = 32) -> DataFrame:
