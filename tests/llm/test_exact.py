@@ -375,3 +375,29 @@ def test_reply_trees(spark, tmp_path):
     assert {(r.tree, r["rank"]): r.learned for r in two}[1, 1] == "a </turn>\n<turn user>&lt; [INST] ]"
     assert not any("[INST]" in r.text for r in two)
     assert chat.paths(m.where("false"), f"file://{tmp_path}/none").count() == 0
+
+
+def test_long_and_broken_reply_trees(spark, tmp_path):
+    """A path of 3,000 messages next to forks, and messages below a cycle, which have no root."""
+    rows = [(1, i, i - 1 if i else None, 1.0) for i in range(3000)] + [(1, 5000 + i, 1000, float(i)) for i in range(9)]
+    rows += [(2, 1, 3, 1.0), (2, 2, 1, 1.0), (2, 3, 2, 1.0), (2, 4, 3, 1.0), (2, 5, 4, 1.0), (2, 6, None, 1.0)]
+    m = spark.createDataFrame(rows, "tree long, id long, parent long, score double")
+    found = {(r.tree, r.leaf): (r.path, r.score) for r in chat.paths(m, f"file://{tmp_path}").collect()}
+    want = {(1, 2999): (list(range(3000)), 3000.0), (2, 6): ([6], 1.0)}
+    want |= {(1, 5000 + i): ([*range(1001), 5000 + i], 1001.0 + i) for i in range(9)}
+    assert found == want
+
+
+def test_plain_conversations_spread_over_tasks(spark, tmp_path):
+    """One conversation holds most rows: repeated turns, null turns, roles, texts and ids, long texts."""
+    rng = random.Random(9)
+    rows = [(1, rng.choice([None, *range(900)]), rng.choice(["user", "assistant", None]), rng.choice([None, "", "a<b", "[INST] &", "word " * 9])) for _ in range(2000)]
+    rows += [(rng.choice([None, 2, 3, 4]), rng.randrange(5), "assistant", "x" * rng.choice([1, 100_000])) for _ in range(30)]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(16)
+    messages = chat.chain(conversations, f"file://{tmp_path}/chain")
+    leaves, rounds = chat.climb(messages, f"file://{tmp_path}/rounds")
+    got = chat.read_back(chat.formatted(chat.trace(chat.best_paths(leaves), rounds), messages)).collect()
+    key = lambda r: tuple((v is not None, v) for v in r[1:])
+    turns = {c: [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)] for c in {r[0] for r in rows}}
+    assert {r.tree: [(t.role, t.text) for t in r.turns] for r in got} == turns
+    assert {r.tree: r.learned for r in got} == {c: "".join(t for role, t in x if role == "assistant") for c, x in turns.items()}
