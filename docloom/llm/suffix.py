@@ -15,9 +15,10 @@ passage if some ``min_words`` words around it, with a minimiser inside, stand in
    words to the right of all, that of the other order the most to the left: passages beyond these bounds
    can't repeat. Suffixes next to the border of two partitions are compared across it, border by border.
 3. What lies within both bounds and in no span of the document (the longest match to the left and that
-   to the right may be of different documents) is settled exactly: just these windows of ``min_words`` words around the minimiser are hashed, in every
-   suffix that has it, and those found in two documents give spans. A window is looked at under its least
-   hash only, so once.
+   to the right may be of different documents) is settled exactly: just these windows of ``min_words`` words
+   around the minimiser are hashed, in every suffix that has it and the core of such a window (the words that
+   it has in common with its neighbours), and those found in two documents give spans. A window is looked at
+   under its least hash only, so once.
 
 So no repeated passage of ``min_words`` words is missed, and every word of a span lies in one. Overlapping
 and touching spans of a document are joined. Copies of a whole text are found first and stand aside: only
@@ -48,6 +49,8 @@ from docloom.llm.near_dup import _LOWER, _PLACE, mix, word_hashes
 FARTHER = 24
 #: Up to so many anchors or ids (8 bytes each) are broadcast; beyond, they are shuffled.
 BROADCAST_IDS = 300_000
+#: So many windows, each beginning a word before the other, are told apart by their common core first.
+CORE = 8
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -340,12 +343,26 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 12, id_col:
     both = one(1).bitwiseAND(one(2)).bitwiseAND(F.coalesce(one(3), F.lit(-1).cast("long"))).bitwiseAND(F.coalesce(one(4), F.lit(-1).cast("long")))
     opened = compared.where("kind between 1 and 4").groupBy("doc_id", "x", "anchor").agg(both.alias("mask"), F.first("places").alias("places")).where("mask <> 0").join(spans, "doc_id", "left")
     begins = F.filter(F.sequence(F.lit(0), F.lit(w - 1)), lambda j: (F.getbit("mask", j) == 1) & F.exists("places", lambda p: ~F.coalesce(F.exists("spans", lambda s: (s["start"] <= p - j) & (p - j + min_words <= s["end"])), F.lit(False))))
-    windows = written(opened.select("anchor", F.explode(begins).alias("j")).distinct(), f"{base}/windows")
+    asked = F.aggregate(begins, F.lit(0).cast("long"), lambda m, j: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
+    opened = written(opened.select(F.col("x").alias("pos"), "anchor", asked.alias("own")).where("own <> 0"), f"{base}/opened")
+    wide = written(opened.groupBy("anchor").agg(F.bit_or("own").alias("wide")), f"{base}/wide")
     for name in ("right", "left"):
         remove(spark, f"{base}/{name}")
-    held = near.join(F.broadcast(windows) if windows.count() <= BROADCAST_IDS else windows, "anchor").where(f"j between low and high and octet_length(left) >= 4 * j and octet_length(right) >= 4 * ({min_words} - j)")
-    parts = [F.expr("substring(left, 1, 4 * j)"), F.expr(f"substring(right, 1, 4 * ({min_words} - j))")]
-    held = written(held.select("anchor", "j", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("window"), *parts).alias("h2"), "doc_id", "places"), f"{base}/held")
+    small = lambda d: F.broadcast(d) if d.count() <= BROADCAST_IDS else d
+    held = near.join(small(wide), "anchor").join(small(opened.select("pos", "own")), "pos", "left")
+    held = held.withColumn("js", F.expr(f"filter(sequence(0, {w - 1}), j -> getbit(wide, j) = 1 and j between low and high and octet_length(left) >= 4 * j and octet_length(right) >= 4 * ({min_words} - j))"))
+    # windows that begin close together have most of their words, the core, in common: one is looked at only where an open one has its core
+    held = held.withColumn("parts", F.expr(f"array_distinct(transform(js, j -> j div {CORE}))")).select("*", F.explode("parts").alias("b"))
+    core = [F.expr(f"substring(left, 1, 4 * b * {CORE})"), F.expr(f"substring(right, 1, 4 * ({min_words} - least(b * {CORE} + {CORE - 1}, {w - 1})))")]
+
+    def window(j):
+        parts = [F.substring("left", F.lit(1), 4 * j), F.substring("right", F.lit(1), 4 * (min_words - j))]
+        return F.struct(j.alias("j"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("window"), *parts).alias("h2"))
+
+    inside = F.filter("js", lambda j: F.floor(j / CORE) == F.col("b"))
+    held = written(held.select("anchor", "b", F.xxhash64(*core).alias("core"), F.exists(inside, lambda j: F.getbit(F.coalesce("own", F.lit(0).cast("long")), j) == 1).alias("open"), "doc_id", "places", F.transform(inside, window).alias("windows")), f"{base}/held")
+    cores = written(held.where("open").select("anchor", "b", "core").distinct(), f"{base}/cores")
+    held = held.join(small(cores), ["anchor", "b", "core"], "left_semi").select("anchor", "doc_id", "places", F.inline("windows"))
     shared = held.groupBy("anchor", "j", "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").drop("lo", "hi")
     settled = held.join(shared, ["anchor", "j", "h1", "h2"], "left_semi").select("doc_id", F.explode("places").alias("p"), "j")
     settled = settled.select("doc_id", (F.col("p") - F.col("j")).alias("start"), (F.col("p") - F.col("j") + min_words).alias("end"))

@@ -272,6 +272,23 @@ def test_suffix_finds_every_repeat(spark):
         assert {d: sorted(got[d] ^ want[d]) for d in want if got[d] != want[d]} == {}
 
 
+def test_suffix_exact_step(spark):
+    """A partner behind more suffixes than are compared in both orders, none of which has a whole passage in common."""
+    rng = random.Random(5)
+    words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    least = lambda m: int(suffix.minimisers(suffix._hashes(" ".join(m)), 12, 1)[1][0])
+    rows = []
+    for c in range(3):
+        middle, left, right = min((words(12) for _ in range(3000)), key=least), words(38), words(38)
+        some = 2 * suffix.FARTHER
+        rows += [left + middle + right, words(9) + left[-20:] + middle + right[:24] + words(9)]
+        rows += [words(40) + middle + right[:30] + words(20) for _ in range(some)] + [words(20) + left[-30:] + middle + words(40) for _ in range(some)]
+    rows = [(d, " ".join(x)) for d, x in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: {w for s in r.spans for w in range(s.start, s.end)} for r in suffix.repeated_passages(df).collect()}
+    assert len(got) == 6 and got == repeated_words(rows, 50)
+
+
 def test_quality_statistics(spark):
     rows = [r for r in with_odd(spark).select("doc_id", "text").collect()]
     numbers = lambda **more: sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.statistics(with_odd(spark), **more).collect())
