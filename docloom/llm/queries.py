@@ -15,8 +15,11 @@ _QUERIES = {
     "op8_toxicity": "toxicity",
     "op9_chat_format": "chat",
     "op10_language_id": "langid",
+    "op11_conversation_repair": "repair",
+    "op12_filter_audit": "filter_audit",
+    "op13_quality_attention": "quality_mil",
 }
-_SQL = ("op4_line_dedup", "op5_warc_roundtrip", "op9_chat_format")
+_SQL = ("op4_line_dedup", "op5_warc_roundtrip", "op9_chat_format", "op11_conversation_repair", "op12_filter_audit")
 
 
 def _query(name: str):
