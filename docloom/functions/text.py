@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cache
 from unicodedata import normalize
 
 import pandas as pd
@@ -122,6 +123,29 @@ def index_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
 
 
+@cache
+def _folds() -> tuple[str, str]:
+    """Letters that decompose into a letter and marks, and those letters; the marks themselves come last and go."""
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    folded = {"ς": "σ"}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000))):
+        base, *rest = normalize("NFD", c)
+        if rest and base not in marks and all(x in marks for x in rest):
+            folded[c] = base
+    return "".join([*folded, *marks]), "".join(folded.values())
+
+
+def folded(text: Column) -> Column:
+    """Lower-cased, without the marks on letters."""
+    low = F.lower(text)
+    return F.when(low.rlike("[^\\x00-\\x7F]"), F.translate(low, *_folds())).otherwise(low)
+
+
+def folded_terms(text: Column) -> Column:
+    """The folded runs of letters, digits and private characters, in order; all other marks break them."""
+    return F.filter(F.split(folded(text), "[^\\p{L}\\p{N}\\p{Co}]+"), lambda w: w != "")
+
+
 def chunk_id(path: Column, page: Column, index: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", path, page.cast("string"), index.cast("string"))), 1, 32)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from docloom.functions import quality as Q
 from docloom.functions import text as T
+from docloom.operators import match as M
 from docloom.operators import pages as G
 from docloom.operators import paragraphs as P
 from docloom.operators import retrieval as R
@@ -240,15 +241,38 @@ def word_counts(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(T.index_tokens(F.col("text"))).cast("long").alias("n_words"))
 
 
-PHRASE = "array_to_string(string_split(text, ' ')[2:4], ' ')"
 TERMS = r"list_distinct(list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
+WORDS = TERMS.format("text")
+IN_ORDER = WORDS.removeprefix("list_distinct")  # list_distinct keeps no order
 
 
-@query(f"""with q as (select item_id, {TERMS.format(PHRASE)} as x from benchmark), dd as (select doc_id, {TERMS.format('text')} as y from documents)
+@query(f"""with q as (select item_id, {WORDS} as x from benchmark), dd as (select doc_id, {WORDS} as y from documents)
 select item_id, doc_id, rk from (select item_id, doc_id, row_number() over (partition by item_id order by doc_id) as rk from q, dd where list_has_all(y, x) and len(x) > 0) where rk <= 30""")
 def fts_match_and(spark, d):
-    q = t(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("text"))
-    return R.top(R.match_all(q, t(spark, d, "documents")), "item_id", 30, F.col("doc_id")).select("item_id", "doc_id", F.col("rank").cast("long").alias("rk"))
+    return R.top(R.match_all(t(spark, d, "benchmark"), t(spark, d, "documents")), "item_id", 30, F.col("doc_id")).select("item_id", "doc_id", F.col("rank").cast("long").alias("rk"))
+
+
+FOLDED = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+HAS = lambda *at: "contains(y, concat(' ', " + ", ' ', ".join(f"coalesce(x[{i}], 'x')" for i in at) + ", ' '))"
+
+
+@query(f"""with q as (select item_id, {FOLDED} as x from benchmark), dd as (select doc_id, concat(' ', array_to_string({FOLDED}, ' '), ' ') as y from documents),
+m as (select item_id, doc_id from q, dd where case item_id % 6
+  when 0 then len(x) > 0 and len(list_filter(x, lambda w: not contains(y, concat(' ', w, ' ')))) = 0
+  when 1 then {HAS(1, 2, 3)} or ({HAS(4)} and {HAS(5)})
+  when 2 then {HAS(1)} and ({HAS(2)} or {HAS(3)}) and not {HAS(4)}
+  when 3 then {HAS(1)} and {HAS(2)} and not {HAS(3, 4)}
+  when 4 then starts_with(y, concat(' ', coalesce(x[1], 'x'), ' ')) or {HAS(2, 3, 4)} end)
+select item_id, doc_id, rk from (select *, row_number() over (partition by item_id order by doc_id) as rk from m) where rk <= 30""")
+def fts_expressions(spark, d):
+    """Expressions made of each question's words, every sixth one malformed; the first 30 matches of each."""
+    x = T.folded_terms(F.col("text"))
+    shapes = ['"%1$s %2$s %3$s" OR (%4$s AND %5$s)', "%1$s AND (%2$s OR %3$s) NOT %4$s", '%1$s %2$s NOT "%3$s %4$s"', '^%1$s OR "%2$s %3$s %4$s"', "%1$s AND (%2$s"]
+    words, said = [F.coalesce(F.get("x", F.lit(i)), F.lit("x")) for i in range(5)], F.array_join("x", " ")
+    for n, shape in enumerate(shapes, 1):
+        said = F.when(F.col("item_id") % 6 == n, F.format_string(shape, *words)).otherwise(said)
+    asked = t(spark, d, "benchmark").select("item_id", x.alias("x")).select("item_id", said.alias("text"))
+    return M.keyword_search(M.match(asked, t(spark, d, "documents"), scratch(spark))).select("item_id", "doc_id", F.col("rank").cast("long").alias("rk"))
 
 
 BM = f"""w as (select doc_id, unnest({TOK}) as term from documents), tf as (select doc_id, term, count(*) as tf from w group by all),
@@ -259,15 +283,12 @@ q as (select item_id, term, count(*) as times from (select item_id, unnest({TOK}
 sc as (select item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join tf using (term) join idf using (term) join dl using (doc_id), st group by item_id, doc_id)"""
 
 
-WORDS = TERMS.format("text")
-IN_ORDER = WORDS.removeprefix("list_distinct")  # list_distinct keeps no order
-
-
 @query(f"""with q as (select item_id, {IN_ORDER} as x from benchmark), dd as (select doc_id, {WORDS} as y from documents)
-select item_id, doc_id from q, dd where len(x) >= 6 and list_contains(y, x[1]) and list_has_any(y, x[2:5]) and not list_contains(y, x[6])""")
+select item_id, doc_id from q, dd where list_contains(y, x[1]) and (len(x) < 2 or list_has_any(y, x[2:5])) and not coalesce(list_contains(y, x[6]), false)""")
 def fts_match_boolean(spark, d):
+    """A question's first word, one of the next four if there are any, and not its sixth if it has one."""
     x = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    q = t(spark, d, "benchmark").select("item_id", x.alias("x")).where(F.size("x") >= 6)
+    q = t(spark, d, "benchmark").select("item_id", x.alias("x"))
     q = q.select("item_id", F.slice("x", 1, 1).alias("every"), F.slice("x", 2, 4).alias("any"), F.slice("x", 6, 1).alias("none"))
     return R.match_boolean(q, t(spark, d, "documents"))
 
