@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,12 @@ REFUSAL = "คำขอไม่อยู่ในขอบเขตการใ
 BROADCAST_QUERIES = 10_000
 
 
+def few(df: DataFrame, most: int = BROADCAST_QUERIES) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if few(df, most) else df
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -47,38 +52,108 @@ def term_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", parts: int = 64) -> None:
-    """A BM25 index below ``path``: weights, and postings in folders by the term's hash; both are sorted by term."""
+    """A BM25 index below ``path``: postings in folders by the term's hash and sorted by term; from them the terms'
+    weights, with the largest share that a posting of the term has in a score (``peak``), and the number of documents.
+
+    The documents are cut into words once; all else comes from the postings."""
+    spark = docs.sparkSession
     part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-    weights = term_weights(frequencies(docs), corpus_stats(docs))
-    weights.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
     rows = postings(docs, id_col).withColumn("part", part)
     rows.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    posts = spark.read.parquet(f"{path}/postings")
+    stats = docs.agg(F.count("*").alias("n_docs")).crossJoin(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")))
+    stats.select("n_docs", (F.col("words") / F.col("n_docs")).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    peaks = posts.crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("term").agg(F.count("*").alias("df"), F.max(_share(F.col("avgdl"))).alias("peak"))
+    peaks.write.mode("overwrite").parquet(f"{path}/peaks")
+    peaks = spark.read.parquet(f"{path}/peaks")
+    term_weights(peaks.select("term", "df"), stats).join(peaks.drop("df"), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
 
 
-def index_scores(questions: DataFrame, path: str, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
-    """BM25 scores from a written index, reading the asked terms' postings."""
-    read = questions.sparkSession.read.parquet
-    asked = asked_terms(questions, query_id)
-    return _scored(read(f"{path}/postings"), read(f"{path}/weights"), asked, query_id, id_col)
+def _share(avgdl: Column) -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
 
 
 def asked_terms(questions: DataFrame, query_id: str) -> DataFrame:
     return questions.select(query_id, F.explode(index_tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
 
 
-def _scored(posts: DataFrame, weights: DataFrame, asked: DataFrame, query_id: str, id_col: str) -> DataFrame:
-    asked = asked.join(weights, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return posts.join(bounded(asked, 200_000), "term").groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("score"))
+def _scored(posts: DataFrame, asked: DataFrame, query_id: str, id_col: str) -> DataFrame:
+    """Scores of every document that shares a term with a question; ``asked`` with weights."""
+    part = F.col("times") * F.col("idf") * _share(F.col("avgdl"))
+    return posts.join(bounded(asked, 200_000), "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
+
+
+def index_scores(questions: DataFrame, path: str, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
+    """BM25 scores from a written index of every document that shares a term with a question."""
+    read = questions.sparkSession.read.parquet
+    asked = asked_terms(questions, query_id).join(read(f"{path}/weights"), "term")
+    return _scored(read(f"{path}/postings"), asked, query_id, id_col).withColumn("score", F.round("score", 6))
+
+
+def index_top(questions: DataFrame, path: str, k: int, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
+    """``(query, id, score, rank)``: the best ``k`` of each question by BM25, from a written index.
+
+    The rarest terms' documents give each question a score that its k-th best document reaches. Terms whose
+    peaks together stay below it (the common words) can bring no document in by themselves: only postings of
+    the others give candidates, and the common words are looked up for those candidates alone that can still enter."""
+    spark, eps = questions.sparkSession, 2e-6
+    base = f"{path}/search-{uuid.uuid4().hex}"
+    posts = spark.read.parquet(f"{path}/postings").drop("part")
+    asked = asked_terms(questions, query_id).join(spark.read.parquet(f"{path}/weights"), "term")
+    asked = asked.withColumn("most", F.col("times") * F.col("idf") * F.col("peak"))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    w = W.partitionBy(query_id).orderBy("df", "term")
+    asked = kept(asked.withColumn("before", F.coalesce(F.sum("df").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "asked")
+    if asked.where("most < 0").limit(1).count():  # over half of the terms in over half of the documents: no bounds
+        found = _scored(posts, asked, query_id, id_col)
+    else:
+        # the rarest terms' best documents, scored whole: what their k-th best reaches, the result's k-th best does too
+        seeds = top(_scored(posts, asked.where(F.col("before") < 4 * k), query_id, id_col), query_id, 2 * k, F.desc("score")).select(query_id, id_col)
+        seeds = kept(seeds.join(bounded(asked.select(query_id, "term", "times", "idf", "avgdl"), 200_000), query_id), "seeds")
+        whole = bounded(seeds, 500_000).join(posts, ["term", id_col]).groupBy(query_id, id_col).agg(F.sum(F.col("times") * F.col("idf") * _share(F.col("avgdl"))).alias("score"))
+        reach = top(whole, query_id, k, F.desc("score")).where(F.col("rank") == k).select(query_id, (F.col("score") - eps).alias("reach"))
+        below = F.sum("most").over(W.partitionBy(query_id).orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0))
+        told = asked.withColumn("below", below).join(reach, query_id, "left").withColumn("common", F.coalesce(F.col("below") < F.col("reach"), F.lit(False)))
+        told = kept(told, "told")
+        rare, common = told.where("not common"), told.where("common")
+        rest = common.groupBy(query_id).agg(F.sum("most").alias("rest"))
+        held = _scored(posts, rare.drop("below", "reach", "common"), query_id, id_col).join(bounded(told.select(query_id, "reach").distinct().join(rest, query_id, "left"), 200_000), query_id)
+        held = kept(held.where(F.col("reach").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("reach"))).select(query_id, id_col, "score"), "held")
+        wanted = held.select(query_id, id_col).join(bounded(common.select(query_id, "term", "times", "idf", "avgdl"), 200_000), query_id)
+        lookup = bounded(wanted, 500_000).join(posts, ["term", id_col]).select(query_id, id_col, (F.col("times") * F.col("idf") * _share(F.col("avgdl"))).alias("score"))
+        found = held.unionByName(lookup).groupBy(query_id, id_col).agg(F.sum("score").alias("score"))
+    return top(found.withColumn("score", F.round("score", 6)), query_id, k, F.desc("score"), F.col(id_col))
 
 
 def bm25_scores(questions: DataFrame, docs: DataFrame, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
     """Scores without an index: only the asked terms' words are counted and shuffled."""
     asked = asked_terms(questions, query_id)
+    small = few(asked, 200_000)  # of the terms as asked, before their weights take a pass over the documents
+    wanted = asked.select("term").distinct()
     words = docs.select(F.col(id_col), index_tokens(F.col("text")).alias("w")).select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    words = words.join(bounded(asked.select("term").distinct(), 200_000), "term", "left_semi")
+    words = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
     posts = words.groupBy("term", id_col, "dl").agg(F.count("*").alias("tf"))
-    return _scored(posts, term_weights(frequencies(docs), corpus_stats(docs)), asked, query_id, id_col)
+    asked = asked.join(term_weights(frequencies(docs), corpus_stats(docs)), "term")
+    part = F.col("times") * F.col("idf") * _share(F.col("avgdl"))
+    scores = posts.join(F.broadcast(asked) if small else asked, "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
+    return scores.withColumn("score", F.round("score", 6))
+
+
+def filled_up(found: DataFrame, questions: DataFrame, docs: DataFrame, k: int, query_id: str = "item_id", id_col: str = "doc_id") -> DataFrame:
+    """The best ``k`` ``found(query, id, score)`` of each question, with documents of score 0, by id, where there are fewer.
+
+    Of the documents' first ids only as many are looked at as a question can have hits among, and some ``k`` more."""
+    hits = top(found, query_id, k, F.desc("score"), F.col(id_col)).drop("rank")
+    # of the first 2k ids at least k are no hits of a question with fewer than k
+    short = questions.select(query_id).distinct().join(hits.groupBy(query_id).agg(F.count("*").alias("n")), query_id, "left").where(F.coalesce("n", F.lit(0)) < k).select(query_id)
+    firsts = docs.select(id_col).distinct().orderBy(id_col).limit(2 * k)
+    fill = short.crossJoin(F.broadcast(firsts)).join(hits.select(query_id, id_col), [query_id, id_col], "left_anti").withColumn("score", F.lit(0.0))
+    return top(hits.unionByName(fill), query_id, k, F.desc("score"), F.col(id_col))
 
 
 def top(df: DataFrame, query_id: str, k: int, *order: Column) -> DataFrame:
@@ -108,33 +183,30 @@ def match_boolean(questions: DataFrame, docs: DataFrame, query_id: str = "item_i
     return found.join(bounded(sizes), query_id).where(good).select(query_id, id_col)
 
 
-def dot(a: Column, b: Column, dim: int | None = None) -> Column:
-    """With ``dim``, a sum written out, which Spark compiles; else a fold over vectors of any length."""
-    if dim:
-        return sum((F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(dim)), F.lit(0.0))
+def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int, dim: int | None = None) -> DataFrame:
-    """``queries(query_id, q)`` against every vector; a bounded query set is broadcast."""
-    scored = vectors.join(bounded(queries, 1000), F.lit(True)).withColumn("score", F.round(dot(F.col("q"), F.col("embedding"), dim), 6) + 0.0)
-    return top(scored, "query_id", k, F.desc("score"), F.col("vec_id"))
-
-
 def unit(v: Column) -> Column:
     """A vector at length 1; the null vector stays."""
     sizes = F.array_repeat(F.sqrt(dot(v, v)), F.size(v))  # an argument, so computed once and not for every number
     return F.zip_with(v, sizes, lambda x, size: F.when(size > 0, x / size).otherwise(x.cast("double")))
 
 
-def hybrid(questions: DataFrame, docs: DataFrame, k: int, k_vec: int = 30, k_kw: int = 30, query_id: str = "item_id", id_col: str = "doc_id", embed: Callable[[Column], Column] = hash_vector, dim: int | None = 32) -> DataFrame:
-    """Vector leg (cosine) and keyword leg (BM25), fused by reciprocal ranks; ``embed`` makes a text's vector of ``dim`` numbers.
+def hybrid(questions: DataFrame, docs: DataFrame, k: int, k_vec: int = 30, k_kw: int = 30, query_id: str = "item_id", id_col: str = "doc_id", embed: Callable[[Column], Column] = hash_vector, index: str | None = None) -> DataFrame:
+    """Vector leg (cosine) and keyword leg (BM25), fused by reciprocal ranks; ``embed`` makes a text's vector.
+
+    ``index`` is the folder of a written BM25 index; without one the documents are scored as they are. The vectors
+    are multiplied in blocks, each task keeping its best of each question."""
+    from docloom.operators.vectors import top_vectors
 
-    Each leg keeps its best per question in every partition before they are merged."""
-    asked = questions.select(F.col(query_id).alias("query_id"), unit(embed(F.col("text"))).alias("q"))
-    vectors = docs.select(F.col(id_col).alias("vec_id"), unit(embed(F.col("text"))).alias("embedding"))
-    near = vector_top(asked, vectors, k_vec, dim).select(F.col("query_id").alias(query_id), F.col("vec_id").alias(id_col), "rank")
-    kw = top(bm25_scores(questions, docs, query_id, id_col), query_id, k_kw, F.desc("score"), F.col(id_col))
+    asked = questions.select(F.col(query_id).alias("query_id"), embed(F.col("text")).alias("q"))
+    vectors = docs.select(F.col(id_col).alias("vec_id"), embed(F.col("text")).alias("embedding"))
+    near = top_vectors(asked, vectors, k_vec, cosine=True).select(F.col("query_id").alias(query_id), F.col("vec_id").alias(id_col), "rank")
+    if index:
+        kw = index_top(questions, index, k_kw, query_id, id_col)
+    else:
+        kw = top(bm25_scores(questions, docs, query_id, id_col), query_id, k_kw, F.desc("score"), F.col(id_col))
     return fuse([near, kw], query_id, id_col, k)
 
 
@@ -182,23 +254,24 @@ def fuse(legs: list[DataFrame], query_id: str, id_col: str, k: int, constant: in
 def overlap_rerank(hits: DataFrame, questions: DataFrame, docs: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
     """Share of a query's distinct tokens that a document holds; the default in place of a cross-encoder."""
     q = questions.select(query_id, F.array_distinct(index_tokens(F.col("text"))).alias("qt"))
-    d = docs.select(id_col, F.array_distinct(index_tokens(F.col("text"))).alias("dt"))
+    d = docs.join(bounded(hits.select(id_col).distinct(), 200_000), id_col, "left_semi").select(id_col, F.array_distinct(index_tokens(F.col("text"))).alias("dt"))
     rows = hits.select(query_id, id_col).join(q, query_id).join(d, id_col)
     rows = rows.withColumn("rerank", F.round(F.size(F.array_intersect("qt", "dt")) / F.greatest(F.size("qt"), F.lit(1)), 6))
     return top(rows, query_id, k, F.desc("rerank"), F.col(id_col)).select(query_id, id_col, "rerank", "rank")
 
 
 def pack_context(ranked: DataFrame, query_id: str, budget: int = 1200, cited: bool = False) -> DataFrame:
-    """``ranked(query, rank, text, cite)`` cut at the first block over the budget, joined by blank lines.
+    """``ranked(query, rank, text, cite)`` cut at the first block over the budget, joined by blank lines; a query
+    whose first block is over it has a row with no block.
 
     ``cited`` counts the block with its citation, by the half-even estimate."""
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.regexp_replace("text", "^\\s+|\\s+$", ""))
     counted = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("cite"), F.lit("\n"), F.regexp_replace("text", "^\\s+|\\s+$", ""), F.lit("\n"))
     rows = ranked.withColumn("block", block).withColumn("tokens", counted_tokens(counted) if cited else estimated_tokens(block))
     used = F.sum("tokens").over(W.partitionBy(query_id).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("used", used).where(F.col("used") <= budget)
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "block", "cite")))
-    packed = rows.groupBy(query_id).agg(ordered.alias("x"), F.max("used").alias("used_tokens"))
+    rows = rows.withColumn("used", used).withColumn("fits", F.col("used") <= budget)
+    ordered = F.sort_array(F.collect_list(F.when(F.col("fits"), F.struct("rank", "block", "cite"))))
+    packed = rows.groupBy(query_id).agg(ordered.alias("x"), F.coalesce(F.max(F.when(F.col("fits"), F.col("used"))), F.lit(0)).alias("used_tokens"))
     return packed.select(query_id, "used_tokens", F.size("x").cast("long").alias("n_blocks"), F.array_join(F.transform("x", lambda x: x["block"]), "\n\n").alias("ctx"),
                          F.array_join(F.transform("x", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["cite"])), "\n").alias("cites"))
 

@@ -13,7 +13,9 @@ from docloom.operators import pages as G
 from docloom.operators import paragraphs as P
 from docloom.operators import retrieval as R
 from docloom.operators import store as S
+from docloom.operators import vectors as V
 from docloom.plans import ingest as I
+from docloom.sources.files import spread
 from docloom.sources.scratch import scratch
 
 _QUERIES, _SQL = {}, {}
@@ -39,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 # Derived inputs: the tables hold no Thai, bullets, markdown or dirt of their own.
@@ -275,9 +277,9 @@ def fts_expressions(spark, d):
     return M.keyword_search(M.match(asked, t(spark, d, "documents"), scratch(spark))).select("item_id", "doc_id", F.col("rank").cast("long").alias("rk"))
 
 
-BM = f"""w as (select doc_id, unnest({TOK}) as term from documents), tf as (select doc_id, term, count(*) as tf from w group by all),
-dl as (select doc_id, len({TOK}) as dl from documents), st as (select count(*) as n, avg(dl) as avgdl from dl),
-df as (select term, count(*) as df from tf group by term), raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as r from df, st),
+BM = f"""w as materialized (select doc_id, unnest({TOK}) as term from documents), tf as materialized (select doc_id, term, count(*) as tf from w group by all),
+dl as materialized (select doc_id, len({TOK}) as dl from documents), st as materialized (select count(*) as n, avg(dl) as avgdl from dl),
+df as materialized (select term, count(*) as df from tf group by term), raw as materialized (select term, df, ln((select n from st) - df + 0.5) - ln(df + 0.5) as r from df),
 idf as (select term, df, case when r < 0 then 0.25 * (select avg(r) from raw) else r end as idf from raw),
 q as (select item_id, term, count(*) as times from (select item_id, unnest({TOK}) as term from benchmark) group by all),
 sc as (select item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join tf using (term) join idf using (term) join dl using (doc_id), st group by item_id, doc_id)"""
@@ -308,10 +310,21 @@ def bm25_index_stats(spark, d):
     return R.term_weights(R.frequencies(docs), R.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"with {BM} select item_id, doc_id, score, rk from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rk from sc) where rk <= 10")
+@query(f"""with {BM}, al as (select item_id, doc_id, coalesce(score, 0) as score from benchmark cross join documents left join sc using (item_id, doc_id))
+select item_id, doc_id, score, rk from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rk from al) where rk <= 10""")
 def bm25_topk(spark, d):
-    s = R.bm25_scores(t(spark, d, "benchmark"), t(spark, d, "documents"))
-    return R.top(s, "item_id", 10, F.desc("score"), F.col("doc_id")).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rk"))
+    """The best ten of each question, filled up with documents of score 0."""
+    docs, asked = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark")
+    s = R.filled_up(R.bm25_scores(asked, docs), asked, docs, 10)
+    return s.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rk"))
+
+
+@query(f"with {BM} select item_id, doc_id, score, rk from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rk from sc) where rk <= 10")
+def bm25_index_topk(spark, d):
+    """From a written index, by the terms' peaks."""
+    path = scratch(spark)
+    R.write_index(t(spark, d, "documents").select("doc_id", "text"), path, parts=8)
+    return R.index_top(t(spark, d, "benchmark"), path, 10).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rk"))
 
 
 @query(f"""with {BM}, o as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rk from sc),
@@ -334,7 +347,7 @@ def _vectors(where: str) -> str:
 def _vector_top(spark, d, where):
     v = t(spark, d, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.vector_top(q, v.where(where), 12).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rk"))
+    return V.top_vectors(q, v.where(where), 12).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rk"))
 
 
 @query(_vectors(""))
@@ -347,6 +360,15 @@ def vector_topk_filtered(spark, d):
     return _vector_top(spark, d, "label = 3")
 
 
+@query(_vectors(""))
+def vector_collection(spark, d):
+    """As ``vector_topk``, from a written collection in cells."""
+    v, path = t(spark, d, "embeddings"), scratch(spark)
+    V.write_collection(v, path)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return V.search_collection(q, path, 12).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rk"))
+
+
 @query("""with s as (select vec_id, case when vec_id % 3 = 0 then embedding[1:60] else embedding end as e from embeddings)
 select vec_id, 64::bigint as dim, round(list_sum(list_transform(e, lambda x: x::double)) + (64 - len(e)) * (list_sum(list_transform(e, lambda x: x::double)) / len(e))::float::double, 5) as total from s""")
 def vector_dim_fix(spark, d):
@@ -391,7 +413,7 @@ def rrf_fusion(spark, d):
 
 @query(f"""with {LEGS}, p as (select f.item_id, f.doc_id, rk, greatest(1, ceil(length(concat('[', rk::varchar, '] ', trim(text, e' \\n\\t'))) / 4.0))::bigint as tk from fused f join documents using (doc_id) where rk <= 12),
 s as (select *, sum(tk) over (partition by item_id order by rk) as used from p)
-select item_id, max(used)::bigint as used_tokens, count(*) as n_blocks from s where used <= 1200 group by item_id""")
+select item_id, coalesce(max(used) filter (used <= 1200), 0)::bigint as used_tokens, count(*) filter (used <= 1200) as n_blocks from s group by item_id""")
 def hybrid_rrf(spark, d):
     """Flagship: keyword leg, second leg, rank fusion, packed context."""
     hits = _fused(spark, d, 12).join(t(spark, d, "documents").select("doc_id", "text", F.col("source").alias("cite")), "doc_id")
@@ -409,7 +431,8 @@ def hybrid_rerank(spark, d):
 PACK = r"""with c as (select conv_id, turn + 1 as rk, text, role as cite from conversations),
 b as (select conv_id, rk, concat('[', rk::varchar, '] ', trim(text, e' \n\t')) as block, concat('[', rk::varchar, '] ', cite) as cited, {tokens} as tk from c),
 s as (select *, sum(tk) over (partition by conv_id order by rk) as used from b)
-select conv_id, max(used)::bigint as used_tokens, count(*) as n_blocks, sha1(string_agg(block, chr(10) || chr(10) order by rk)) as ctx, string_agg(cited, chr(10) order by rk) as cites from s where used <= 300 group by conv_id"""
+select conv_id, coalesce(max(used) filter (used <= 300), 0)::bigint as used_tokens, count(*) filter (used <= 300) as n_blocks, sha1(coalesce(string_agg(block, chr(10) || chr(10) order by rk) filter (used <= 300), '')) as ctx,
+coalesce(string_agg(cited, chr(10) order by rk) filter (used <= 300), '') as cites from s group by conv_id"""
 
 
 def _packed(spark, d, cited):

@@ -17,6 +17,16 @@ QUALITY = "doc_id string, page_num int, quality_score double, engine string, sta
 SUFFIXES = "pdf xlsx xls csv tsv"
 
 
+#: Tables below the size of one usual split may come from a single row group, that is in a single task.
+ONE_SPLIT = 128 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table as it is, or, if all of it is smaller than a split and it has much work ahead, dealt over the cores."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if (1 << 20) < size < ONE_SPLIT else rows
+
+
 def base_name(path: Column) -> Column:
     return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
