@@ -23,12 +23,13 @@ NATIONAL_ID = r"\b\d{13}\b"
 
 
 def nfc(text: Column) -> Column:
-    """NFC; an Arrow UDF, for Spark has no such function. ASCII texts pass as they are."""
+    """NFC; an Arrow UDF, for Spark has no such function. Only texts with a code point from U+0300 on, below which
+    nothing composes, go to it."""
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else normalize("NFC", x))
+        return s.map(lambda x: x if x is None else normalize("NFC", x))
 
-    return normal(text)
+    return F.coalesce(normal(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
 
 
 def normalize_text(text: Column, preserve_newlines: bool = True, compose: bool = True) -> Column:
@@ -150,6 +151,17 @@ def chunk_id(path: Column, page: Column, index: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", path, page.cast("string"), index.cast("string"))), 1, 32)
 
 
+#: Fixed value: the name space of URLs for name-based ids.
+URL_NAMES = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def name_uuid(name: Column, names: str = URL_NAMES) -> Column:
+    """The name-based id of version 5: SHA-1 over name space and name, with version and variant put in."""
+    h = F.sha1(F.concat(F.unhex(F.lit(names.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.substr(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def page_number(value: Column) -> Column:
     return F.coalesce(value.try_cast("int"), F.lit(0))
 

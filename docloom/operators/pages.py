@@ -5,34 +5,40 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from docloom.functions.quality import needs_ocr, text_quality
+from docloom.functions.quality import needs_ocr, ocr_language, script_ratios, text_quality
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity; Spark has none, so an Arrow UDF, for pairs of page texts only."""
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+def alike(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts have a Ratcliff-Obershelp similarity of ``least``; Spark has none, so an Arrow UDF, for pairs of
+    page texts only. Its cheap upper bounds come first: most unlike pairs never get to the matching of blocks."""
+    @F.pandas_udf("boolean")
+    def judged(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype="float64")
+        def one(p: str | None, q: str | None) -> bool:
+            m = SequenceMatcher(None, p or "", q or "")
+            return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
-    return ratio(a, b)
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="bool")
+
+    return judged(a, b)
 
 
 def filled(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s", "")) > 0
 
 
-def choose_ocr(pages: DataFrame, first: str, second: str, alike: float = 0.6, out: str = "text") -> DataFrame:
+def choose_ocr(pages: DataFrame, first: str, second: str, least: float = 0.6, out: str = "text") -> DataFrame:
     """Of two OCR texts the first, if they are alike or it scores no less; if one is blank, the other.
 
     Scores decide before the similarity, which is only computed where the second text scores more."""
     a, b = F.coalesce(F.col(first), F.lit("")), F.coalesce(F.col(second), F.lit(""))
     rows = pages.withColumn("_second", filled(b) & (~filled(a) | (text_quality(a) < text_quality(b))))
     doubt = F.col("_second") & filled(a)
-    rows = rows.withColumn("_alike", similarity(F.when(doubt, a), F.when(doubt, b)))
-    return rows.withColumn(out, F.when(F.col("_second") & ~(doubt & (F.col("_alike") >= alike)), b).otherwise(F.when(filled(a), a).otherwise(b))).drop("_second", "_alike")
+    rows = rows.withColumn("_alike", doubt & alike(F.when(doubt, a), F.when(doubt, b), least))
+    return rows.withColumn(out, F.when(F.col("_second") & ~F.col("_alike"), b).otherwise(F.when(filled(a), a).otherwise(b))).drop("_second", "_alike")
 
 
 def with_fallback(pages: DataFrame, ocr: DataFrame, keys: list[str], min_length: int = 50, min_score: float = 0.2) -> DataFrame:
@@ -45,3 +51,18 @@ def with_fallback(pages: DataFrame, ocr: DataFrame, keys: list[str], min_length:
     rows = pages.join(best, keys, "left")
     swap = needed & filled(F.col("ocr_text"))
     return rows.withColumn("method", F.when(swap, "ocr").otherwise(F.col("method"))).withColumn("text", F.when(swap, F.col("ocr_text")).otherwise(F.coalesce("text", F.lit("")))).drop("ocr_text")
+
+
+def page_languages(pages: DataFrame, first: int = 3, threshold: float = 0.15) -> DataFrame:
+    """``pages(source, page_no, text)`` with ``ocr_lang``: what the page's own letters tell, else what those of the
+    document's first pages do.
+
+    The first pages of a document come from an aggregate that keeps no more of them, whatever the document's size."""
+    lead = pages.select("source", "page_no", F.coalesce("text", F.lit("")).alias("text"))
+    nth = F.row_number().over(W.partitionBy("source").orderBy("page_no", "text"))  # cut to the first on the map side
+    lead = lead.withColumn("nth", nth).where(F.col("nth") <= first)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n")
+    lang = lead.groupBy("source").agg(joined.alias("text")).select(F.col("source").alias("_source"), ocr_language(F.col("text"), threshold=threshold).alias("_lang"))
+    rows = pages.join(lang, F.col("source").eqNullSafe(F.col("_source")), "left")
+    own = script_ratios(F.coalesce("text", F.lit("")))[1] >= threshold
+    return rows.withColumn("ocr_lang", F.when(own, "tha+eng").otherwise(F.col("_lang"))).drop("_source", "_lang")

@@ -14,7 +14,9 @@ from docloom.operators import paragraphs as P
 from docloom.operators import retrieval as R
 from docloom.operators import store as S
 from docloom.operators import vectors as V
+from docloom.operators.keyed import KeyedTable
 from docloom.plans import ingest as I
+from docloom.plans import reprocess as A
 from docloom.sources.files import spread
 from docloom.sources.scratch import scratch
 
@@ -143,6 +145,19 @@ def doc_ids(spark, d):
     return t(spark, d, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("doc_id") % 7, F.col("doc_id")).alias("chunk_key"), F.substring(F.sha1(F.concat_ws("|", "source", F.lit("1"), F.lit("1"), head)), 1, 24).alias("short_key"))
 
 
+@query("""with h as (select doc_id, sha1(unhex(replace('6ba7b811-9dad-11d1-80b4-00c04fd430c8', '-', '')) || encode(concat(source, '|', doc_id::varchar))) as h from documents)
+select doc_id, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', substr('89ab', (('0x' || h[17:17])::int & 3) + 1, 1), h[18:20], '-', h[21:32]) as point_id from h""")
+def point_ids(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.name_uuid(F.concat_ws("|", "source", F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+@query(rf"""with p as ({FRAMED}), f as (select source, string_agg(text, chr(10) order by page_no) as text from p where page_no <= 3 group by source),
+l as (select source, case when length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^A-Za-z฀-๿]', '', 'g'))) >= 0.15 then 'tha+eng' else 'tha' end as lang from f)
+select source, page_no, case when length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^A-Za-z฀-๿]', '', 'g'))) >= 0.15 then 'tha+eng' else lang end as ocr_lang from p join l using (source)""")
+def page_languages(spark, d):
+    return G.page_languages(framed(spark, d)).select("source", F.col("page_no").cast("long").alias("page_no"), "ocr_lang")
+
+
 @query(r"""
 with s as (select page_id, regexp_replace(lower(regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '(.)\.[^.]*$', '\1')), '[^0-9A-Za-z฀-๿]+', '_', 'g') x from pages),
 n as (select page_id, trim(x, '_') x from s), m as (select page_id, case when x = '' then 'document' else x end x from n)
@@ -159,7 +174,7 @@ def strip_markdown(spark, d):
     return marked.select("conv_id", "turn", F.sha1(F.regexp_replace(stripped, "^\\s+|\\s+$", "")).alias("digest"))
 
 
-@query(rf"select conv_id, turn, turn % 4 = 1 as is_heading, turn % 4 in (2, 3) as is_bullet, length(trim(text, e' \n\t')) as n_chars from ({OUTLINE}) where trim(text, e' \n\t') <> ''")
+@query(rf"select conv_id, turn, regexp_matches(trim(text, e' \n\t'), '{T.HEADING}') as is_heading, regexp_matches(trim(text, e' \n\t'), '{T.BULLET}') as is_bullet, length(trim(text, e' \n\t')) as n_chars from ({OUTLINE}) where trim(text, e' \n\t') <> ''")
 def paragraph_explode(spark, d):
     return P.tagged(outline(spark, d)).select("conv_id", "turn", "is_heading", "is_bullet", F.length("text").cast("long").alias("n_chars"))
 
@@ -210,9 +225,31 @@ def ingest_chunks(spark, d):
     return rows.select(F.col("source").cast("long").alias("doc_id"), "chunk", F.col("chunk_id").alias("ordinal"), F.col("doc_id").alias("chunk_key"), "status", "tokens_est", F.sha1("text").alias("digest"))
 
 
-@query()
+ISLANDS = rf"""p as (select conv_id, turn, trim(text, e' \n\t') as text, regexp_matches(trim(text, e' \n\t'), '{T.HEADING}') as h, regexp_matches(trim(text, e' \n\t'), '{T.BULLET}') as b from ({OUTLINE}) where trim(text, e' \n\t') <> ''),
+q as (select *, coalesce(lag(b) over (partition by conv_id order by turn), false) as pb from p),
+r as (select *, sum(case when b and pb then 0 else 1 end) over (partition by conv_id order by turn) as island from q),
+g as (select conv_id, min(turn) as page, string_agg(text, chr(10) order by turn) as text, bool_or(h) as h, island as i from r group by conv_id, island)"""
+
+
+def _chunked(heading_tail: str) -> str:
+    """The fold of paragraphs within the budget as a recursion: what is held, and what the step closes."""
+    sql = r"""with recursive ISLANDS, n as (select conv_id, max(i) as n from g group by conv_id),
+s as (select *, greatest(1, ceil(length(text) / 4.0))::bigint as size from g union all select conv_id, null, null, true, n + 1, 0 from n),
+f as (
+  select conv_id, 0::bigint as i, null::varchar as held, 0::bigint as used, null::bigint as ps, null::bigint as pe, -1::bigint as chunk, null::varchar as body, null::bigint as bs, null::bigint as be, false as tail from n
+  union all
+  select conv_id, i, case when shut then text else held || chr(10) || chr(10) || text end, case when shut then size else used + size end,
+    case when shut then page else least(ps, page) end, case when shut then page else greatest(pe, page) end,
+    case when shut and held is not null then chunk + 1 else chunk end, case when shut then held end, ps, pe, text is not null and (not h or TAIL)
+  from (select s.*, held, used, ps, pe, chunk, held is null or h or used + size > 800 as shut from f join s on s.conv_id = f.conv_id and s.i = f.i + 1)
+), c as (select conv_id, chunk, bs as page_start, be as page_end, case when tail and floor(0.12::double * length(body)) > 0 then right(body, floor(0.12::double * length(body))::bigint) || chr(10) || body else body end as text from f where body is not null)
+select conv_id, chunk, sha1(text) as digest, page_start, page_end, greatest(1, ceil(length(text) / 4.0))::bigint as tokens_est from c"""
+    return sql.replace("ISLANDS", ISLANDS).replace("TAIL", heading_tail)
+
+
+@query(_chunked("false"))
 def chunk_pages_notebook(spark, d):
-    return P.chunks(outline(spark, d), "conv_id", "turn", "turn", heading_tail=False).select("conv_id", "chunk", F.sha1("text").alias("digest"), "page_start", "page_end", "tokens_est")
+    return P.chunks(outline(spark, d), "conv_id", "turn", "turn", batch=True).select("conv_id", "chunk", F.sha1("text").alias("digest"), "page_start", "page_end", "tokens_est")
 
 
 @query(r"""select item_id, regexp_replace(replace(concat('(', text, '): "', text, '" - a/b?'), '"', '""'), '[/()\-:*?\[\]{}]', ' ', 'g') as asked from benchmark""")
@@ -221,7 +258,7 @@ def query_sanitized(spark, d):
     return t(spark, d, "benchmark").select("item_id", T.sanitized_query(x).alias("asked"))
 
 
-@query()
+@query(_chunked("true"))
 def chunk_pages(spark, d):
     return P.chunks(outline(spark, d), "conv_id", "turn", "turn").select("conv_id", "chunk", F.sha1("text").alias("digest"), "page_start", "page_end", "tokens_est")
 
@@ -535,6 +572,36 @@ def upsert_latest(spark, d):
     return S.upsert(docs.unionByName(docs.where("doc_id % 10 = 0").withColumn("batch", F.lit(2).cast("long"))), "doc_id", "batch")
 
 
+@query("""select doc_id, case when doc_id % 10 = 0 then 3 when doc_id % 2 = 0 or doc_id % 3 = 0 then 1 else 2 end::bigint as batch, n_chars from documents where doc_id % 7 <> 0
+union all select doc_id + 1000000000, 3, n_chars from documents where doc_id % 10 = 0 and doc_id % 7 <> 0""")
+def keyed_table(spark, d):
+    """Two batches inserted, the second of them twice, one upserted with new keys, some keys deleted; read back."""
+    docs = t(spark, d, "documents").select("doc_id", "n_chars")
+    batch = lambda n, rows: rows.select("doc_id", F.lit(n).cast("long").alias("batch"), "n_chars")
+    first = batch(1, docs.where("doc_id % 2 = 0 or doc_id % 3 = 0"))
+    table = KeyedTable(spark, scratch(spark), first.schema, buckets=16)
+    table.insert(first, "batch")
+    for _ in range(2):
+        table.insert(batch(2, docs), "batch")
+    tenth = docs.where("doc_id % 10 = 0")
+    table.upsert(batch(3, tenth.unionByName(tenth.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))), "batch")
+    gone = docs.where("doc_id % 7 = 0").select("doc_id")
+    table.delete(gone.union(gone.select(F.col("doc_id") + 1_000_000_000)))
+    return table.read()
+
+
+@query(f"""with f as (select doc_id, source, regexp_replace(text, '[#$%&*|]+', '', 'g') as text from documents join labels using (doc_id) where quality = 0),
+s as (select *, {OQ} as score, length(regexp_replace(text, '[^฀-๿]', '', 'g')) a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) b from f)
+select doc_id, source, round(score, 6) as quality_score, score >= 0.3 and length(trim(text, e' \\n\\t')) >= 30 and (a / greatest(a + b, 1) >= 0.8 or b / greatest(a + b, 1) >= 0.8) and score >= 0.7 as accepted from s""")
+def reprocess_pages(spark, d):
+    """Every flagged document as a page of its source, read again by an engine that leaves out symbols."""
+    docs = t(spark, d, "documents").join(t(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id")
+    flagged = docs.select(F.lit(None).cast("string").alias("path"), "source", F.col("doc_id").alias("page_start"))
+    again = docs.select(F.col("source").alias("path"), F.col("doc_id").cast("int").alias("page_no"), F.regexp_replace("text", "[#$%&*|]+", "").alias("text"))
+    rows = A.judged_pages(flagged, again)
+    return rows.select(F.col("page_no").cast("long").alias("doc_id"), F.col("path").alias("source"), F.round("quality_score", 6).alias("quality_score"), "accepted")
+
+
 @query("select count(distinct d.source) as n_files, count(*) as n_records, count(*) filter (l.quality = 0) as n_flagged, count(*) filter (l.quality is distinct from 0) as n_embedded from documents d left join labels l using (doc_id)")
 def ingest_summary(spark, d):
     rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docloom.operators.keyed import KeyedTable
 from docloom.operators.store import insert_or_ignore
 from docloom.sources.files import CHUNK
 
@@ -27,3 +28,15 @@ def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, key: s
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+
+
+def ingest_keyed(spark: SparkSession, folder: str, table: str, checkpoint: str, key: str = "doc_id", order: str = "chunk_id", schema: str = CHUNK, files_per_batch: int = 1000, buckets: int = 64) -> StreamingQuery:
+    """As ``ingest``, into the ``KeyedTable`` at ``table``: a micro-batch reads the buckets of its own keys in place of
+    all earlier batches, and one that is run again after a failure finds its keys there and changes nothing."""
+    shape = spark.createDataFrame([], schema).schema
+
+    def take(rows: DataFrame, batch: int) -> None:
+        KeyedTable(rows.sparkSession, table, shape, key, buckets).insert(rows.select(*shape.fieldNames()), order)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()

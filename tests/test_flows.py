@@ -98,7 +98,7 @@ def test_bullets_are_chunked_together(spark):
     df = spark.createDataFrame(rows, "source string, place int, page_no int, text string")
     got = [(r.chunk, r.text, r.page_start, r.page_end) for r in P.chunks(df, "source", "place", "page_no").orderBy("chunk").collect()]
     assert got == [(0, "- \ntwo"[:0] + "wo\nintro\n\n- one\n- two", 1, 1), (1, "1. Head\n\ntail", 2, 3)]
-    plain = [r.text for r in P.chunks(df, "source", "place", "page_no", heading_tail=False).orderBy("chunk").collect()]
+    plain = [r.text for r in P.chunks(df, "source", "place", "page_no", batch=True).orderBy("chunk").collect()]
     assert plain == ["intro\n\n- one\n- two", "1. Head\n\ntail"]
 
 

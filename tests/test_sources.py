@@ -4,10 +4,11 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from docloom.functions.text import normalize_text
+from docloom.functions.text import name_uuid, normalize_text
 from docloom.operators import pages as G
 from docloom.operators import retrieval as R
 from docloom.sources import files as S
+from docloom.operators.pages import alike, page_languages
 from docloom.streaming.ingest import ingest
 
 
@@ -86,3 +87,33 @@ def test_ingest_in_steps(spark, tmp_path):
 def test_composed_text(spark):
     rows = spark.createDataFrame([("cafe\u0301  x",), (None,)], "text string")
     assert [r[0] for r in rows.select(normalize_text(F.col("text"), compose=True)).collect()] == ["caf\u00e9 x", ""]
+
+
+def test_name_based_ids(spark):
+    import random
+    import uuid
+
+    rng = random.Random(1)
+    names = ["".join(rng.choice("abcé |ทุน😀/:") for _ in range(rng.randrange(0, 40))) for _ in range(10_000)]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string").orderBy("i").select(name_uuid(F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+
+
+def test_document_language_from_its_first_pages(spark):
+    thai, latin = "ระเบียบการศึกษา " * 5, "Regulations of study " * 5
+    pages = [("a", 1, thai), ("a", 2, thai + latin), ("a", 3, ""), ("a", 4, thai), ("b", 3, thai), ("b", 2, thai), ("b", 1, None), ("b", 4, latin), ("b", 5, "12"), (None, 9, latin)]
+    rows = spark.createDataFrame(pages[::-1], "source string, page_no int, text string").repartition(3)
+    got = {(r["source"], r["page_no"]): r["ocr_lang"] for r in page_languages(rows).collect()}
+    both = {("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 4), (None, 9)}  # b's first three pages are Thai, its fifth goes with them
+    assert {k for k, v in got.items() if v == "tha+eng"} == both and len(got) == len(pages)
+
+
+def test_alike_equals_the_whole_ratio(spark):
+    from difflib import SequenceMatcher
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd ") for _ in range(rng.randrange(0, 40)))
+    pairs = [(w, w[: rng.randrange(len(w) + 1)] + word()) for w in (word() for _ in range(300))]
+    got = [r[0] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string").orderBy("i").select(alike(F.col("a"), F.col("b"), 0.6)).collect()]
+    assert got == [SequenceMatcher(None, a, b).ratio() >= 0.6 for a, b in pairs]
