@@ -32,7 +32,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and rows with a null id stay as they are; of the ids that hold a line the largest
     keeps it; repeated rows count once and all stay; an empty table stays empty. Columns pass through."""
     out = line_dedup.drop_repeated_lines(docs).where((F.col("n_dropped") == 0) | (F.length(F.btrim("text")) > 0))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:  # it counts what is left
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

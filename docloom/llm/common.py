@@ -61,6 +61,14 @@ def finished(df: DataFrame, base: str) -> DataFrame:
     return out
 
 
+def working(columns: list[str], *names: str) -> list[str]:
+    """The names with a prefix that keeps them apart from a table's own ``columns``, whatever those are."""
+    own, prefix = {c.lower() for c in columns}, "_"
+    while any(f"{prefix}{n}".lower() in own for n in names):
+        prefix += "_"
+    return [f"{prefix}{n}" for n in names]
+
+
 def crc_mod(id_col: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit("")), "UTF-8")) % n

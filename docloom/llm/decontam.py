@@ -15,10 +15,13 @@ A capitalised word that begins a sentence may be a name or not. It equals the sa
 slot against a name or another such word; windows that hold some meet in each of these readings.
 
 A shared run of ``width + stride - 1`` words always holds one of the document's windows whole, so no
-passage of that length is missed whose windows have ``min_literals`` words that are no placeholders;
-windows with fewer are no keys, for rows of numbers or names would meet each other everywhere. ``min_run``
-must not be below that length. Items of fewer than that many words
-are compared with every window of the documents that is as long as the item.
+passage of that length is missed. Windows of fewer than ``min_literals`` words that are no placeholders would meet
+each other everywhere, as rows of numbers or names do. They are keys as they were written, with their slots' values, and
+items that have such windows also meet documents by whole runs of ``min_run`` words with literals enough (there
+the words that may be names are read either all as names or all as words). A stretch without literals enough counts
+if document and item agree in every value. ``min_run`` must not be below that length. Items of fewer than that many words are compared with every window of the documents that is as
+long as the item, poor ones as they were written; of fewer than ``min_literals`` words altogether, in a single number or
+name say, an item is no evidence and finds nothing.
 
 Null or empty texts have no template. Rows with a null id are ignored. Repeated rows give one result
 row. Of stretches of equal length the first counts. A text of any length is compared whole. An empty
@@ -83,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     """``(doc_id, item_id, at_word, run_words, item_words)``: each contaminated document with each item
     found in it, at the place of the longest run (of equals, the first).
 
-    A window needs ``min_literals`` words that are no placeholders."""
+    Windows of fewer than ``min_literals`` words that are no placeholders meet by their words as written."""
     spark = docs.sparkSession
     base = work_dir(spark)
     if min_run < width + stride - 1:
@@ -94,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     items = written(items.where("item is not null").dropDuplicates(), f"{base}/items")
     long_items, short_items = items.where(F.size("canon") >= width + stride - 1), items.where(F.size("canon") < width + stride - 1)
 
-    at = long_items.select("item_id", "canon", "named", F.explode(F.sequence(F.lit(1), F.size("canon") - width + 1)).alias("b"))
+    at = long_items.select("item_id", "item", "canon", "named", F.explode(F.sequence(F.lit(1), F.size("canon") - width + 1)).alias("b"))
     readings = lambda df, n, *keep: df.select(*keep, "plain", "other", F.explode(differing(F.col("plain"), F.col("other"), n)).alias("mask")).select(*keep, reading(F.col("plain"), F.col("other"), F.col("mask"), n).alias("w"))
     windows = readings(at.select("item_id", "b", F.slice("canon", F.col("b"), width).alias("plain"), F.slice("named", F.col("b"), width).alias("other")), width, "item_id", "b").where(literals("w") >= min_literals)
     windows = written(windows.select(F.xxhash64("w").alias("h"), "b", "item_id").distinct(), f"{base}/windows")
@@ -107,6 +110,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     places = lambda n, step: F.explode(F.when(F.size("canon") >= n, F.sequence(F.lit(1), F.size("canon") - n + 1, F.lit(step)))).alias("a")
     cut = texts.select("doc_id", "t", "canon", "named", places(width, stride)).select("doc_id", "t", "a", F.slice("canon", F.col("a"), width).alias("plain"), F.slice("named", F.col("a"), width).alias("other"))
     cut = readings(cut, width, "doc_id", "t", "a").select("doc_id", "t", "a", F.xxhash64("w").alias("h"))
+    # windows poor in literals: as they were written. Documents are looked at only if they have a run of placeholders
+    bare = lambda c: F.ltrim(c, F.lit("\x02\x05"))
+    plainly = lambda words, n: F.xxhash64(F.lit("as written"), F.array(*[bare(F.get(words, F.lit(i))) for i in range(n)]))
+    slots, most_literals = "[\x01\x02\x03\x05][^ ]*", min_literals - 1
+    rich_in_slots = lambda n: F.col("t").rlike(f"(?:^| )(?:{slots}(?: [^ ]+){{0,{most_literals}}}?(?: |$)){{{max(1, n - most_literals)}}}")
+    either = (literals(F.slice("canon", F.col("b"), width)) < min_literals) | (literals(F.slice("named", F.col("b"), width)) < min_literals)
+    poor = written(at.where(either).select("item_id", "b", plainly(F.slice("item", F.col("b"), width), width).alias("h")).distinct(), f"{base}/poor")
+    met_poor = None
+    if poor.limit(1).count():
+        raw = texts.where(rich_in_slots(width)).select("doc_id", words_of(F.col("t")).alias("words"), "canon")
+        raw = raw.select("doc_id", "words", places(width, stride)).select("doc_id", "a", plainly(F.slice("words", F.col("a"), width), width).alias("h"))
+        met_poor = raw.join(F.broadcast(poor) if small else poor, "h").select("doc_id", "item_id", (F.col("a") - F.col("b")).alias("shift"))
+        # and, with other values, by whole runs with literals enough: all that is compared of a short item, else min_run words
+        mixed = long_items.join(poor.select("item_id").distinct(), "item_id", "left_semi")
+        for n in [r[0] for r in mixed.select(F.least(F.size("canon"), F.lit(min_run)).alias("n")).distinct().collect()]:
+            runs = mixed.where(F.least(F.size("canon"), F.lit(min_run)) == n).select("item_id", "canon", "named", F.explode(F.sequence(F.lit(1), F.size("canon") - n + 1)).alias("b"))
+            both = lambda c: F.explode(F.array(F.slice("canon", c, n), F.slice("named", c, n))).alias("w")
+            runs = runs.select("item_id", "b", both(F.col("b"))).where(literals("w") >= min_literals).select("item_id", "b", F.xxhash64("w").alias("h")).distinct()
+            wide = texts.where(rich_in_slots(width)).select("doc_id", "canon", "named", places(n, 1)).select("doc_id", "a", both(F.col("a"))).select("doc_id", "a", F.xxhash64("w").alias("h"))
+            met_poor = met_poor.unionByName(wide.join(F.broadcast(runs) if small else runs, "h").select("doc_id", "item_id", (F.col("a") - F.col("b")).alias("shift")))
+        met_poor = texts.select("doc_id", "t").join(met_poor.distinct(), "doc_id").join(items.select("item_id", "item"), "item_id").select("doc_id", "t", "shift", "item_id", "item")
+
     if small:
         keys = F.broadcast(windows.groupBy("h").agg(F.collect_list(F.struct("b", "item_id")).alias("at")))
         met = cut.join(keys, "h").select("doc_id", "t", "a", F.explode("at").alias("x")).select("doc_id", "t", (F.col("a") - F.col("x.b")).alias("shift"), "x.item_id")
@@ -114,6 +139,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     else:
         pairs = cut.select("doc_id", "a", "h").join(windows, "h").select("doc_id", (F.col("a") - F.col("b")).alias("shift"), "item_id").distinct()
         met = texts.select("doc_id", "t").join(pairs, "doc_id").join(items.select("item_id", "item"), "item_id")
+    if met_poor is not None:
+        met = met.select("doc_id", "t", "shift", "item_id", "item").unionByName(met_poor)
     shift = F.col("shift")
     met = met.select("doc_id", "item_id", "item", "shift", F.slice(words_of(F.col("t")), F.greatest(shift + 1, F.lit(1)), F.size("item") + F.least(shift, F.lit(0))).alias("part"))
     met = met.dropDuplicates(["doc_id", "item_id", "shift"])
@@ -128,10 +155,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
         every = readings(every, n, "doc_id", "shift", "part").select("doc_id", "shift", "part", F.xxhash64("w").alias("h"))
         met = met.unionByName(every.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "item", "shift", "part"))
 
+    poor_short = short_items.where((literals("canon") < min_literals) & (F.size("canon") >= min_literals))
+    for n in [r[0] for r in poor_short.select(F.size("canon").alias("n")).distinct().collect()]:
+        keys = poor_short.where(F.size("canon") == n).select("item_id", "item", plainly(F.col("item"), n).alias("h"))
+        every = texts.where(rich_in_slots(n)).select("doc_id", "canon", words_of(F.col("t")).alias("words")).select("doc_id", "words", places(n, 1))
+        every = every.select("doc_id", (F.col("a") - 1).alias("shift"), F.slice("words", F.col("a"), n).alias("part"))
+        every = every.withColumn("h", plainly(F.col("part"), n))
+        met = met.unionByName(every.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "item", "shift", "part"))
+
     # word by word: equal template words, and among them the longest consistent stretch
     lined = met.withColumn("from", F.greatest(-F.col("shift"), F.lit(0)))
     lined = lined.withColumn("mine", F.slice("item", F.col("from") + 1, F.size("part")))
-    bare = lambda c: F.ltrim(c, F.lit("\x02\x05"))
     pairs = F.zip_with("part", "mine", lambda d, i: F.struct(bare(d).alias("d"), bare(i).alias("i"), F.substring(d, 1, 1).alias("k"), F.substring(i, 1, 1).alias("l")))
     slot = lambda c: c.isin("\x01", "\x02", "\x03")
     names = lambda x: x["k"].isin("\x02", "\x05") & x["l"].isin("\x02", "\x05")
@@ -161,6 +195,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
         return F.struct(start.alias("start"), (s["n"] + 1).alias("n"), (s["literals"] + x["literal"].cast("int") - left).alias("literals"), F.filter(now, lambda y: y["at"] >= start).alias("seen"), *better(s))
 
     lined = lined.withColumn("run", F.aggregate("p", zero, step, lambda s: F.struct(*better(s))))
+    # a stretch that agrees in every word as written needs no literals
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("at"), F.lit(0).alias("best"), F.lit(0).alias("end"))
+    same = F.aggregate("p", zero, lambda s, x: F.struct(
+        F.when(x["d"] == x["i"], s["now"] + 1).otherwise(0).alias("now"), (s["at"] + 1).alias("at"),
+        F.when((x["d"] == x["i"]) & (s["now"] + 1 > s["best"]), s["now"] + 1).otherwise(s["best"]).alias("best"),
+        F.when((x["d"] == x["i"]) & (s["now"] + 1 > s["best"]), s["at"] + 1).otherwise(s["end"]).alias("end")), lambda s: F.struct(s["best"].alias("best"), s["end"].alias("end")))
+    lined = lined.withColumn("same", same)
+    lined = lined.withColumn("run", F.when(F.col("same.best") > F.col("run.best"), F.col("same")).otherwise(F.col("run")))
     kept = lined.where(F.col("run.best") >= least)
     found = kept.select("doc_id", "item_id", (F.col("shift") + F.col("from") + F.col("run.end") - F.col("run.best")).cast("long").alias("at_word"), F.col("run.best").cast("long").alias("run_words"), F.size("item").cast("long").alias("item_words"))
     best = F.max(F.struct("run_words", (-F.col("at_word")).alias("at"), "item_words")).alias("m")

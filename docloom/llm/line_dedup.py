@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACES, ascii_lower, remove, table, work_dir, written
+from docloom.llm.common import SPACES, ascii_lower, remove, table, work_dir, working, written
 
 #: Up to so many keys (24 bytes each) are broadcast; beyond, both sides are sorted and merged.
 BROADCAST_KEYS = 400_000
@@ -129,12 +129,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     lost = written(lost, f"{base}/lost")
     for name in ("lines", "goes"):
         remove(spark, f"{base}/{name}")
-    out = docs.withColumn("_id", id_).withColumn("_text", F.xxhash64(text_col)).join(lost, ["_id", "_text"], "left")
-    out = out.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
-    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    own, hash_, gone, cut = working(docs.columns, "id", "text", "lost", "lines")
+    lost = lost.select(F.col("_id").alias(own), F.col("_text").alias(hash_), F.col("_lost").alias(gone))
+    out = docs.withColumn(own, id_).withColumn(hash_, F.xxhash64(text_col)).join(lost, [own, hash_], "left")
+    out = out.withColumn(cut, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))
     kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*kept, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*kept, F.size(cut).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

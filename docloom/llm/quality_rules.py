@@ -32,11 +32,12 @@ FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate
 
 def statistics(docs: DataFrame, text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """``docs`` with the base statistics and ``FEATURES``, in place of the text. Fewer ``hash_bits`` change no result."""
-    names = [c for c in docs.columns if c not in (text_col, *FEATURES, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    kept = [F.col(f"`{c}`") for c in names]
+    made = {c.lower() for c in (text_col, *FEATURES, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    names = ["_row"]  # the table's own columns, apart from the working ones
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = lambda pattern: F.length(F.regexp_replace("_t", pattern, "")).cast("long")
-    rows = docs.select(*kept, text.alias("_t"))
+    rows = docs.select(F.struct(*kept or [F.lit(0)]).alias("_row"), text.alias("_t"))
     rows = rows.select(*names, size(f"{SPACE_CLASS}+").alias("word_chars"), size("[^#*$%&|<>]+").alias("n_symbols"), size("[^\\p{Lu}]+").alias("_upper"), size("[^!?*#$%&|<>@=+~^_]+").alias("_marks"), size("[^0-9]+").alias("_digits"),
                        F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_lines"), split_words(F.col("_t")).alias("_w"))
     rows = rows.select(*names, "word_chars", "n_symbols", "_upper", "_marks", "_digits", "_w", F.size("_w").cast("long").alias("n_words"), F.size("_lines").cast("long").alias("_n_lines"),
@@ -60,7 +61,7 @@ def statistics(docs: DataFrame, text_col: str = "text", hash_bits: int = 64) ->
     covered = F.size(F.array_distinct(F.flatten(F.transform("_again", lambda x: F.array(x, x + 1, x + 2)))))
     rows = rows.select(*[c for c in rows.columns if c not in ("_s", "_again", "_spelt")], covered.cast("long").alias("n_repeat_words"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return rows.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rate("word_chars", "n_words").alias("mean_word"), rate("n_symbols", "word_chars").alias("symbol_rate"), rate("n_dup_lines", "_n_lines").alias("dup_line_rate"), rate("n_repeat_words", "n_words").alias("repeat_rate"), rate("_upper", "word_chars").alias("upper_rate"), rate("_marks", "word_chars").alias("mark_rate"), rate("_digits", "word_chars").alias("digit_rate"), rate("_distinct", "n_words").alias("distinct_rate"), rate("n_words", "_n_lines").alias("line_words"))
+    return rows.select(*["_row.*"] * bool(kept), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rate("word_chars", "n_words").alias("mean_word"), rate("n_symbols", "word_chars").alias("symbol_rate"), rate("n_dup_lines", "_n_lines").alias("dup_line_rate"), rate("n_repeat_words", "n_words").alias("repeat_rate"), rate("_upper", "word_chars").alias("upper_rate"), rate("_marks", "word_chars").alias("mark_rate"), rate("_digits", "word_chars").alias("digit_rate"), rate("_distinct", "n_words").alias("distinct_rate"), rate("n_words", "_n_lines").alias("line_words"))
 
 
 def base_failed() -> Column:

@@ -380,6 +380,70 @@ def test_decontamination_stretches(spark):
     assert got[4, 2][1] < 23
 
 
+def agrees(doc, item, least, close):
+    """Whether two runs of words (lower-case words and numbers) share a stretch by the contract, by every alignment;
+    ``close``: the literals stand within ``least`` words."""
+    for shift in range(-len(item) + 1, len(doc)):
+        for start in range(max(0, -shift), min(len(item), len(doc) - shift)):
+            there, back, literals, same = {}, {}, 0, True
+            for n, k in enumerate(range(start, min(len(item), len(doc) - shift)), 1):
+                d, i = doc[k + shift], item[k]
+                if d.isdigit() != i.isdigit() or (not d.isdigit() and d != i):
+                    break
+                if d.isdigit():
+                    if there.setdefault(i, d) != d or back.setdefault(d, i) != i:
+                        break
+                    same = same and d == i
+                else:
+                    literals += 1
+                if n >= least and (literals >= 3 or same):
+                    return True
+                if close and n == least:
+                    break
+    return False
+
+
+def test_decontamination_by_every_alignment(spark):
+    """Items rich and poor in literals, long and short, copied whole, in part, with other numbers or with errors."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("bdfgkmnpqrtvxz") for _ in range(5))
+    item = lambda n, numbers: [str(rng.randrange(100)) if rng.random() < numbers else word() for _ in range(n)]
+    items = [item(rng.randrange(5, 31), rng.choice([0.1, 0.4, 0.8, 1])) for _ in range(40)] + [["7"] * 14, [str(i) for i in range(14)], ["5"], ["4", "4"]]
+    docs = []
+    for _ in range(300):
+        own = list(rng.choice(items))
+        kind = rng.randrange(5)
+        if kind == 1:  # other numbers, consistently
+            other = {x: str(int(x) + 100) for x in own if x.isdigit()}
+            own = [other.get(x, x) for x in own]
+        elif kind == 2:  # one number otherwise
+            own = [str(rng.randrange(100)) if x.isdigit() and rng.random() < 0.1 else x for x in own]
+        elif kind == 3:
+            own[rng.randrange(len(own))] = word()
+        elif kind == 4:
+            own = own[rng.randrange(3):len(own) - rng.randrange(3)]
+        docs.append(item(rng.randrange(0, 20), 0.3) + own + item(rng.randrange(0, 20), 0.3))
+    want, most = ({(d, i) for d, x in enumerate(docs) for i, y in enumerate(items) if len(y) >= 3 and agrees(x, y, min(13, len(y)), close)} for close in (True, False))
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()}
+    assert len(want) > 150 and want <= got <= most, (sorted(want - got)[:9], sorted(got - most)[:9])
+
+
+@pytest.mark.parametrize("names", [["_id", "_text", "_lost", "_lines", "__id"], ["_t", "_w", "_s", "_row", "_upper", "_bits", "N_Words", "bad"], ["h", "t", "a", "b", "canon", "shift", "key", "rep", "sig", "at", "text_", "lines"]])
+def test_clashing_names_pass_through(spark, names):
+    docs = spark.createDataFrame([(i, f"line one of many words\nline {'x' if i < 4 else 'y'} of the same words", *[i * 10 + k for k in range(len(names))]) for i in range(1, 7)], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    want = {r["doc_id"]: [r[n] for n in names] for r in docs.collect()}
+    cut = line_dedup.drop_repeated_lines(docs)
+    assert {r["doc_id"]: [r[n] for n in names] for r in cut.collect()} == want and cut.agg(F.sum("n_dropped")).first()[0] == 9
+    counted = quality_rules.statistics(docs)
+    kept = [n for n in names if n.lower() != "n_words"]
+    assert {r["doc_id"]: [r[n] for n in kept] for r in counted.collect()} == {r["doc_id"]: [r[n] for n in kept] for r in docs.collect()}
+    assert quality_rules.statistics(docs.select("text")).columns == counted.columns[len(names) + 1 - (len(names) - len(kept)):]
+    assert decontam.contaminated(docs, spark.createDataFrame([(1, "line x of the same words")], "item_id long, text string")).count() == 3
+    assert near_dup.near_duplicates(docs).count() == 6
+
+
 def test_reply_trees(spark, tmp_path):
     rows = [(1, 1, None, 0.0, "user", "q"), (1, 2, 1, 0.4, "assistant", "a </turn>\n<turn user>"), (1, 3, 1, 0.9, "assistant", "b"), (1, 4, 2, 0.8, "user", None), (1, 5, 4, 0.0, "assistant", "&lt; [INST] ]"),
             (2, 1, 7, 1.0, "user", "lost parent"), (3, 1, 2, 1.0, "user", "cycle"), (3, 2, 1, 1.0, "user", "cycle"), (None, 1, None, None, "x y>", "t")]
