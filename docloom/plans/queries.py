@@ -487,9 +487,14 @@ def pack_context_notebook(spark, d):
     return _packed(spark, d, True).select("conv_id", F.col("used_tokens").cast("long").alias("used_tokens"), "n_blocks", F.sha1("ctx").alias("ctx"), "cites")
 
 
-@query("select item_id, concat('คำถาม:\n', text, '\n\nบริบท:\n', left(text, 40), '\n\nอ้างอิง:\n', '[1] ', item_id::varchar, '\n') as prompt from benchmark")
+@query(f"""with k as ({PACK.format(tokens=r"greatest(1, ceil(length(concat('[', rk::varchar, '] ', trim(text, e' \n\t'))) / 4.0))::bigint").replace("sha1(coalesce(string_agg(block, chr(10) || chr(10) order by rk) filter (used <= 300), ''))", "coalesce(string_agg(block, chr(10) || chr(10) order by rk) filter (used <= 300), '')")}),
+f as (select conv_id, min_by(text, turn) as question from conversations group by conv_id)
+select conv_id, concat('คำถาม:\n', question, '\n\nบริบท:\n', ctx, '\n\nอ้างอิง:\n', cites, '\n') as prompt from k join f using (conv_id)""")
 def prompt_build(spark, d):
-    return t(spark, d, "benchmark").select("item_id", R.prompt(F.col("text"), F.left("text", F.lit(40)), F.concat(F.lit("[1] "), F.col("item_id").cast("string"))).alias("prompt"))
+    """Each conversation's first text as the question, its turns packed as the context."""
+    first = t(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    rows = _packed(spark, d, False).join(first, "conv_id")
+    return rows.select("conv_id", R.prompt(F.col("question"), F.col("ctx"), F.col("cites")).alias("prompt"))
 
 
 @query(rf"""with c as (select conv_id, turn, {TIDY('text')} as text from ({THAI_MIX})),
@@ -507,17 +512,19 @@ def redact_email(spark, d):
 
 
 PERSONAL = "concat(text, ' id 1234567890123 end, a.b@ex-am.org; x1234567890123y')"
+# the phone pattern's look-around written out: the signs beside a number are put back; twice, for numbers a sign apart
+_BODY = T.PHONE.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)")
+_PHONES = lambda c: f"regexp_replace({c}, '(^|[^0-9]){_BODY}($|[^0-9])', '\\1[REDACTED_PHONE]\\2', 'g')"
+REDACTED = lambda c: f"regexp_replace({_PHONES(_PHONES(f"regexp_replace({c}, '{T.EMAIL}', '[REDACTED_EMAIL]', 'g')"))}, '\\b[0-9]{{13}}\\b', '[REDACTED_ID]', 'g')"
 
 
-@query(f"""select conv_id, turn, sha1(concat(regexp_replace(text, '{T.EMAIL}', '[REDACTED_EMAIL]', 'g'), ' id [REDACTED_PHONE] end, [REDACTED_EMAIL]; x[REDACTED_PHONE]y')) as digest
-from conversations where not regexp_matches(text, '[0-9]')""")
+@query(f"select conv_id, turn, sha1({REDACTED(PERSONAL)}) as digest from conversations")
 def redact_planted(spark, d):
-    """Planted addresses and numbers behind texts without digits; a 13-digit number is a phone number first, as in the reference."""
-    c = t(spark, d, "conversations").where("not text rlike '[0-9]'")
-    return c.select("conv_id", "turn", F.sha1(T.redact(F.expr(PERSONAL))).alias("digest"))
+    """Planted addresses and numbers behind the texts; a 13-digit number is a phone number first, as in the reference."""
+    return t(spark, d, "conversations").select("conv_id", "turn", F.sha1(T.redact(F.expr(PERSONAL))).alias("digest"))
 
 
-@query()
+@query(f"select doc_id, {REDACTED('text')} as text from documents")
 def redact_pii(spark, d):
     return t(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
 
