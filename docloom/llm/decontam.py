@@ -104,8 +104,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     n_words = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     small = n_words <= BROADCAST_WORDS and windows.count() <= BROADCAST_WINDOWS
 
-    # no function with a lambda up to the join: the template stays in place while its windows pass
+    # the templates are made once, into a table of their own
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), template(F.col(text_col)).alias("t"))
+    texts = written(texts, f"{base}/templates")
+    # no function with a lambda up to the join: the template stays in place while its windows pass
     texts = texts.select("doc_id", "t", canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
     places = lambda n, step: F.explode(F.when(F.size("canon") >= n, F.sequence(F.lit(1), F.size("canon") - n + 1, F.lit(step)))).alias("a")
     cut = texts.select("doc_id", "t", "canon", "named", places(width, stride)).select("doc_id", "t", "a", F.slice("canon", F.col("a"), width).alias("plain"), F.slice("named", F.col("a"), width).alias("other"))
@@ -119,7 +121,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     poor = written(at.where(either).select("item_id", "b", plainly(F.slice("item", F.col("b"), width), width).alias("h")).distinct(), f"{base}/poor")
     met_poor = None
     if poor.limit(1).count():
-        raw = texts.where(rich_in_slots(width)).select("doc_id", words_of(F.col("t")).alias("words"), "canon")
+        rich = written(texts.select("doc_id", "t").where(rich_in_slots(width)), f"{base}/rich")
+        rich = rich.select("doc_id", "t", canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
+        raw = rich.select("doc_id", words_of(F.col("t")).alias("words"), "canon")
         raw = raw.select("doc_id", "words", places(width, stride)).select("doc_id", "a", plainly(F.slice("words", F.col("a"), width), width).alias("h"))
         met_poor = raw.join(F.broadcast(poor) if small else poor, "h").select("doc_id", "item_id", (F.col("a") - F.col("b")).alias("shift"))
         # and, with other values, by whole runs with literals enough: all that is compared of a short item, else min_run words
@@ -128,9 +132,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
             runs = mixed.where(F.least(F.size("canon"), F.lit(min_run)) == n).select("item_id", "canon", "named", F.explode(F.sequence(F.lit(1), F.size("canon") - n + 1)).alias("b"))
             both = lambda c: F.explode(F.array(F.slice("canon", c, n), F.slice("named", c, n))).alias("w")
             runs = runs.select("item_id", "b", both(F.col("b"))).where(literals("w") >= min_literals).select("item_id", "b", F.xxhash64("w").alias("h")).distinct()
-            wide = texts.where(rich_in_slots(width)).select("doc_id", "canon", "named", places(n, 1)).select("doc_id", "a", both(F.col("a"))).select("doc_id", "a", F.xxhash64("w").alias("h"))
+            wide = rich.select("doc_id", "canon", "named", places(n, 1)).select("doc_id", "a", both(F.col("a"))).select("doc_id", "a", F.xxhash64("w").alias("h"))
             met_poor = met_poor.unionByName(wide.join(F.broadcast(runs) if small else runs, "h").select("doc_id", "item_id", (F.col("a") - F.col("b")).alias("shift")))
-        met_poor = texts.select("doc_id", "t").join(met_poor.distinct(), "doc_id").join(items.select("item_id", "item"), "item_id").select("doc_id", "t", "shift", "item_id", "item")
+        met_poor = written(met_poor.distinct(), f"{base}/met-poor")
+        if met_poor.count() <= BROADCAST_WINDOWS:
+            met_poor = F.broadcast(met_poor)
+        met_poor = rich.select("doc_id", "t").join(met_poor, "doc_id").join(items.select("item_id", "item"), "item_id").select("doc_id", "t", "shift", "item_id", "item")
 
     if small:
         keys = F.broadcast(windows.groupBy("h").agg(F.collect_list(F.struct("b", "item_id")).alias("at")))
