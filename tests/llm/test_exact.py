@@ -475,9 +475,7 @@ def test_plain_conversations_spread_over_tasks(spark, tmp_path):
     rows = [(1, rng.choice([None, *range(900)]), rng.choice(["user", "assistant", None]), rng.choice([None, "", "a<b", "[INST] &", "word " * 9])) for _ in range(2000)]
     rows += [(rng.choice([None, 2, 3, 4]), rng.randrange(5), "assistant", "x" * rng.choice([1, 100_000])) for _ in range(30)]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(16)
-    messages = chat.chain(conversations, f"file://{tmp_path}/chain")
-    leaves, rounds = chat.climb(messages, f"file://{tmp_path}/rounds")
-    got = chat.read_back(chat.formatted(chat.trace(chat.best_paths(leaves), rounds), messages)).collect()
+    got = chat.read_back(chat.plain_conversations(conversations, f"file://{tmp_path}")).collect()
     key = lambda r: tuple((v is not None, v) for v in r[1:])
     turns = {c: [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)] for c in {r[0] for r in rows}}
     assert {r.tree: [(t.role, t.text) for t in r.turns] for r in got} == turns
