@@ -193,20 +193,28 @@ def unit(v: Column) -> Column:
     return F.zip_with(v, sizes, lambda x, size: F.when(size > 0, x / size).otherwise(x.cast("double")))
 
 
-def hybrid(questions: DataFrame, docs: DataFrame, k: int, k_vec: int = 30, k_kw: int = 30, query_id: str = "item_id", id_col: str = "doc_id", embed: Callable[[Column], Column] = hash_vector, index: str | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, docs: DataFrame, k: int, k_vec: int = 30, k_kw: int = 30, query_id: str = "item_id", id_col: str = "doc_id", embed: Callable[[Column], Column] = hash_vector, index: str | None = None, where: Column | None = None) -> DataFrame:
     """Vector leg (cosine) and keyword leg (BM25), fused by reciprocal ranks; ``embed`` makes a text's vector.
 
+    ``where``, a condition on the columns of ``docs`` such as their owner and sensitivity, holds before the vector leg. The
+    keyword leg takes five times its length (100 at least) from all documents and keeps the first that meet it.
+    Null texts count as empty.
+
     ``index`` is the folder of a written BM25 index; without one the documents are scored as they are. The vectors
     are multiplied in blocks, each task keeping its best of each question."""
     from docloom.operators.vectors import top_vectors
 
-    asked = questions.select(F.col(query_id).alias("query_id"), embed(F.col("text")).alias("q"))
-    vectors = docs.select(F.col(id_col).alias("vec_id"), embed(F.col("text")).alias("embedding"))
+    asked = questions.select(F.col(query_id).alias("query_id"), embed(F.coalesce("text", F.lit(""))).alias("q"))
+    own = docs if where is None else docs.where(where)
+    vectors = own.select(F.col(id_col).alias("vec_id"), embed(F.coalesce("text", F.lit(""))).alias("embedding"))
     near = top_vectors(asked, vectors, k_vec, cosine=True).select(F.col("query_id").alias(query_id), F.col("vec_id").alias(id_col), "rank")
+    wide = k_kw if where is None else max(5 * k_kw, 100)
     if index:
-        kw = index_top(questions, index, k_kw, query_id, id_col)
+        kw = index_top(questions, index, wide, query_id, id_col)
     else:
-        kw = top(bm25_scores(questions, docs, query_id, id_col), query_id, k_kw, F.desc("score"), F.col(id_col))
+        kw = top(bm25_scores(questions, docs, query_id, id_col), query_id, wide, F.desc("score"), F.col(id_col))
+    if where is not None:
+        kw = top(kw.drop("rank").join(own.select(id_col), id_col, "left_semi"), query_id, k_kw, F.desc("score"), F.col(id_col))
     return fuse([near, kw], query_id, id_col, k)
 
 

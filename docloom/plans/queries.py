@@ -15,6 +15,7 @@ from docloom.operators import retrieval as R
 from docloom.operators import store as S
 from docloom.operators import vectors as V
 from docloom.operators.keyed import KeyedTable
+from docloom.plans import answering as N
 from docloom.plans import ingest as I
 from docloom.plans import reprocess as A
 from docloom.sources.files import spread
@@ -551,6 +552,52 @@ def answered(spark, d):
     return R.answers(asked, lambda model, asked: F.concat(model, F.lit(": "), asked)).select("conv_id", "turn", "model", F.sha1("answer").alias("digest"))
 
 
+OWNED = LEGS.replace("from qu, du)", "from qu, du join documents using (doc_id) where source = 'src1' and lang = 'en')").replace(
+    "kw as (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rk from sc)",
+    """kw_all as (select *, row_number() over (partition by item_id order by score desc, doc_id) as wide from sc),
+kw as (select item_id, doc_id, row_number() over (partition by item_id order by wide) as rk from kw_all join documents using (doc_id) where wide <= 150 and source = 'src1' and lang = 'en')""")
+
+
+@query(f"with {OWNED} select item_id, doc_id, rrf, rk from fused where rk <= 12")
+def hybrid_filtered(spark, d):
+    """Both legs under two filters: before the vector leg, after the keyword leg."""
+    where = (F.col("source") == "src1") & (F.col("lang") == "en")
+    return R.hybrid(t(spark, d, "benchmark"), t(spark, d, "documents"), 12, where=where).select("item_id", "doc_id", "rrf", F.col("rank").cast("long").alias("rk"))
+
+
+#: Chunks of documents for the question query: the lines that are not blank.
+LINES = r"""pieces as materialized (select doc_id * 1048576 + i as doc_id, text, source, i as page from (
+select doc_id, source, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where trim(text, e' \n\t\r\x0b\x0c') <> '')"""
+
+
+@query(rf"""with {LINES}, {LEGS.replace("documents", "pieces")},
+r as (select f.item_id, f.doc_id, round(len(list_intersect(list_distinct(qt), list_distinct(dt))) / len(list_distinct(qt)), 6) as rerank
+from fused f join (select item_id, {TOK} as qt from benchmark) using (item_id) join (select doc_id, {TOK} as dt from pieces) using (doc_id) where rk <= 20),
+o as (select item_id, doc_id, row_number() over (partition by item_id order by rerank desc, doc_id) as rk from r),
+b as (select item_id, rk, concat('[', rk::varchar, '] ', trim(text, e' \n\t')) as block, concat('[', rk::varchar, '] ', source, ':', page::varchar) as cited,
+greatest(1, round_even(length(concat('[', rk::varchar, '] ', source, ':', page::varchar, chr(10), trim(text, e' \n\t'), chr(10))) / 4.0, 0))::bigint as tk from o join pieces using (doc_id) where rk <= 8),
+s as (select *, sum(tk) over (partition by item_id order by rk) as used from b),
+k as (select item_id, coalesce(max(used) filter (used <= 1200), 0)::bigint as used_tokens, count(*) filter (used <= 1200) as n_blocks,
+coalesce(string_agg(block, chr(10) || chr(10) order by rk) filter (used <= 1200), '') as ctx, coalesce(string_agg(cited, chr(10) order by rk) filter (used <= 1200), '') as cites from s group by item_id),
+m as (select item_id, cites, used_tokens, n_blocks, case when regexp_matches(lower(text), '{S.DENIED}') then 'deny' when regexp_matches(concat(text, ctx), '{S.ROUTED}') then 'A' else 'B' end as model,
+concat('คำถาม:
+', text, '
+
+บริบท:
+', ctx, '
+
+อ้างอิง:
+', cites, '
+') as prompt from benchmark join k using (item_id))
+select item_id, model, cites, used_tokens, n_blocks, sha1(case when model = 'deny' then '{R.REFUSAL}' else {REDACTED("concat(model, ': ', prompt)")} end) as digest from m""")
+def qa_with_router(spark, d):
+    """From question to redacted answer over chunks (the documents' lines); a generator that repeats its prompt stands in for a model."""
+    lines = t(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    chunks = lines.where(F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) != "").select((F.col("doc_id") * 1048576 + F.col("i") + 1).alias("doc_id"), "text", "source", F.lit(None).cast("string").alias("path"), (F.col("i") + 1).alias("page"))
+    out = N.answered_questions(t(spark, d, "benchmark"), chunks, lambda model, asked: F.concat(model, F.lit(": "), asked))
+    return out.select("item_id", "model", "cites", "used_tokens", F.col("n_blocks").cast("long").alias("n_blocks"), F.sha1("answer").alias("digest"))
+
+
 @query("select source, count(*) as n_flagged, row_number() over (order by count(*) desc, source) as rk from documents join labels using (doc_id) where quality = 0 group by source order by rk limit 10")
 def flagged_top_files(spark, d):
     f = t(spark, d, "documents").join(t(spark, d, "labels").where("quality = 0"), "doc_id").groupBy("source").agg(F.count("*").alias("n_flagged"))
