@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +73,19 @@ def working(columns: list[str], *names: str) -> list[str]:
     return [f"{prefix}{n}" for n in names]
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of up to ``rows`` rows and ``most`` bytes of a text column; a longer text is a part of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).tolist()
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and (total + size > most or i - start == rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield batch.slice(start)
+
+
 def crc_mod(id_col: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit("")), "UTF-8")) % n

@@ -19,7 +19,8 @@ Two sets of similarity 0.8 agree in fewer than 16 of 32 coordinates with a chanc
 
 Null and blank texts have an empty set and are linked with nothing. Rows with a null id are returned
 with a null component and kept. Rows that share an id count as versions of one document and share a
-component. Ties of any kind go to the smaller id. An empty table gives an empty result; other columns
+component. Ties of any kind go to the smaller id. Very long texts are taken whole, hashed in blocks, so that
+beside the text a worker holds some 16 bytes a word. An empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import remove, table, work_dir, written
+from docloom.llm.common import by_bytes, remove, table, work_dir, written
 
 COORDINATES, MATCHES = 32, 16
 #: Bits of the parity sketch, kept as 64-bit numbers.
@@ -46,10 +47,21 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PERM = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_LOWERED = np.arange(256) + 32 * ((np.arange(256) >= ord("A")) & (np.arange(256) <= ord("Z")))
+_FOLDED = _BYTE[_LOWERED]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Short texts are hashed together up to so many bytes; a longer one alone, in blocks of as many.
+BLOCK = 1 << 18
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    p = np.full(BLOCK + 1, base, dtype=np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_UNBASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,57 +70,114 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes."""
+def cells(column: pa.Array) -> list:
+    """A column's texts; a text alone (so maybe a long one) as an Arrow cell, which is not copied."""
+    return [column[0]] if len(column) == 1 else column.to_pylist()
+
+
+def raw_text(text) -> bytes | pa.Buffer:
+    """UTF-8 bytes of a text or of an Arrow cell; null is empty."""
+    if isinstance(text, pa.Scalar):
+        return text.as_buffer() or b""
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def word_blocks(raw: bytes | pa.Buffer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and 64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z lower-cased, block by
+    block; a word that crosses blocks, however long, comes out whole with the block that ends it."""
     b = np.frombuffer(raw, dtype=np.uint8)
-    if len(_powers[0]) <= len(b):
-        n = max(1 << 20, 2 * len(b))
-        for i, base in enumerate((_BASE, _UNBASE)):
-            p = np.full(n, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    inside = np.zeros(len(b) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[b]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[b] * _powers[0][:len(b)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * _powers[1][starts])
-
-
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    open_start, open_sum = -1, np.uint64(0)  # the word that reaches the block's start
+    for at in range(0, len(b), BLOCK):
+        part = b[at:at + BLOCK]
+        inside = np.zeros(len(part) + 2, dtype=np.int8)
+        inside[1:-1] = ~_SPACE[part]
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_FOLDED[part] * _UP[:len(part)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * _DOWN[starts]
+        starts += at
+        if open_start >= 0:
+            if len(starts) and starts[0] == at:
+                h[0] = np.uint64((int(open_sum) + int(h[0]) * pow(int(_BASE), at - open_start, 1 << 64)) % (1 << 64))
+                starts[0] = open_start
+            else:
+                starts, h = np.append(open_start, starts), np.append(open_sum, h)
+            open_start = -1
+        if len(ends) and ends[-1] == len(part) and at + BLOCK < len(b):
+            open_start, open_sum, starts, h = int(starts[-1]), h[-1], starts[:-1], h[:-1]
+        yield starts, mix(h)
+
+
+def word_hashes(raw: bytes | pa.Buffer) -> np.ndarray:
+    blocks = [h for _, h in word_blocks(raw)]
+    return blocks[0] if len(blocks) == 1 else np.concatenate(blocks or [np.empty(0, np.uint64)])
+
+
+def _grams(h: np.ndarray, width: int) -> np.ndarray:
+    if len(h) < width:
+        return h[:0]
+    total = h[:len(h) - width + 1] * _PLACE[0]
+    for i in range(1, width):
+        total += h[i:len(h) - width + 1 + i] * _PLACE[i]
+    return mix(total)
+
+
+def _whole(h: np.ndarray) -> np.ndarray:
+    """Fewer words than a shingle: the whole sequence, told apart by its length."""
+    return mix((h * _PLACE[:len(h)]).sum(dtype=np.uint64, keepdims=True) + _PERM[len(h)]) if len(h) else h
+
+
+def long_set(raw: bytes | pa.Buffer, width: int) -> np.ndarray:
+    """The shingle set of one long text, from blocks that overlap by ``width - 1`` words."""
+    found, last = [], np.empty(0, np.uint64)
+    for _, h in word_blocks(raw):
+        h = np.concatenate([last, h])
+        found.append(np.unique(_grams(h, width)))
+        last = h[max(0, len(h) - width + 1):]
+    items = np.concatenate(found or [last])
+    del found
+    if not len(items):
+        return _whole(last)
+    items.sort()
+    return items[np.append(True, items[1:] != items[:-1])]
+
+
+def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``width``-word shingles of each text, A-Z lower-cased."""
-    raws = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    raws = [raw_text(t) for t in texts]
+    if len(raws) == 1:
+        return [long_set(raws[0], width)]
     bounds = np.cumsum([0] + [len(r) + 1 for r in raws])
-    starts, _, h = word_hashes(b"\n".join(raws))
-    first = np.searchsorted(starts, bounds)
-    grams = sum((h[i:len(h) - width + 1 + i] * _PLACE[i] for i in range(1, width)), h[:max(0, len(h) - width + 1)] * _PLACE[0]) if len(h) >= width else h[:0]
-    grams = mix(grams)
-    out = []
-    for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
-        if z - a >= width:
-            out.append(np.unique(grams[a:z - width + 1]))
-        elif z > a:  # fewer words: the whole sequence, told apart by its length
-            out.append(mix((h[a:z] * _PLACE[:z - a]).sum(dtype=np.uint64, keepdims=True) + _PERM[z - a]))
-        else:
-            out.append(h[:0])
-    return out
+    blocks = list(word_blocks(b"\n".join(raws)))
+    starts, h = np.concatenate([s for s, _ in blocks]), np.concatenate([h for _, h in blocks])
+    first = np.searchsorted(starts, bounds).tolist()
+    grams = _grams(h, width)
+    return [np.unique(grams[a:z - width + 1]) if z - a >= width else _whole(h[a:z]) for a, z in zip(first[:-1], first[1:])]
+
+
+def _digest(s: np.ndarray) -> tuple[int, int, np.ndarray | None, np.ndarray]:
+    """Two digests of a set, its signature and its parity sketch, some thousand shingles at a time."""
+    perm, salt = _PERM[:COORDINATES, None], _PERM[100:100 + COORDINATES]
+    a = b = np.zeros(1, np.uint64)
+    least, odd = np.full(COORDINATES, 2**64 - 1, np.uint64), np.zeros(SKETCH_BITS, np.int64)
+    for at in range(0, len(s), 4096):
+        x = s[at:at + 4096]
+        a, b = a + mix(x ^ _PERM[200]).sum(dtype=np.uint64), b + mix(x + _PERM[201]).sum(dtype=np.uint64)
+        least = np.minimum(least, (x[None, :] * perm).min(axis=1))
+        odd += np.bincount((x % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    # a coordinate's value is salted by its place, so the value alone names the pair
+    sig = mix(least + salt).astype(np.int64) if len(s) else None
+    return int(a.astype(np.int64)[0]), int(b.astype(np.int64)[0]), sig, np.packbits((odd & 1).astype(np.uint8)).view(np.int64)
 
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        perm, salt = _PERM[:COORDINATES, None], _PERM[100:100 + COORDINATES]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingle_sets(part.column(1).to_pylist(), width)
-                a = [int(mix(s ^ _PERM[200]).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                b = [int(mix(s + _PERM[201]).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                # a coordinate's value is salted by its place, so the value alone names the pair
-                sig = [mix((s[None, :] * perm).min(axis=1) + salt).astype(np.int64) if len(s) else None for s in sets]
-                odd = [(np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8) for s in sets]
-                odd = [np.packbits(x).view(np.int64) for x in odd]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "odd"])
+            for part in by_bytes(batch, 1, BLOCK):
+                made = [(len(s), *_digest(s)) for s in shingle_sets(cells(part.column(1)), width)]
+                n, a, b, sig, odd = zip(*made)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "odd"])
 
     return run
 
@@ -116,10 +185,9 @@ def _signatures(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["doc_id", "items"])
+            for part in by_bytes(batch, 1, BLOCK):
+                sets = shingle_sets(cells(part.column(1)), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.data for s in sets], pa.binary())], names=["doc_id", "items"])
 
     return run
 

@@ -42,53 +42,60 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import finished, remove, table, work_dir, written
-from docloom.llm.near_dup import _LOWER, _PLACE, mix, word_hashes
+from docloom.llm.common import by_bytes, finished, remove, table, work_dir, written
+from docloom.llm.near_dup import BLOCK, _grams, cells, raw_text, word_hashes
 
 #: So many suffixes on each side are compared before a window is left to the exact step.
 FARTHER = 24
 #: Up to so many anchors or ids (8 bytes each) are broadcast; beyond, they are shuffled.
 BROADCAST_IDS = 300_000
+#: Minimisers of long texts are looked for in stretches of so many windows.
+STRETCH = 1 << 16
+#: Contexts go out in rows of up to so many.
+CONTEXT_ROWS = 20_000
 #: So many windows, each beginning a word before the other, are told apart by their common core first.
 CORE = 8
 
 
-def _hashes(text: str | None) -> np.ndarray:
-    return word_hashes((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))[2]
-
-
-def _grams(h: np.ndarray, k: int) -> np.ndarray:
-    return mix(sum((h[i:len(h) - k + 1 + i] * _PLACE[i] for i in range(1, k)), h[:len(h) - k + 1] * _PLACE[0]))
+def _hashes(text) -> np.ndarray:
+    return word_hashes(raw_text(text))
 
 
 def minimisers(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and k-word hashes of the minimisers of a text's word hashes."""
-    if len(h) < k + w - 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = _grams(h, k)
-    least = grams  # of 1, 2, 4, ... positions, then of w
-    size = 1
-    while 2 * size <= w:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < w:
-        least = np.minimum(least[:len(grams) - w + 1], least[w - size:][:len(grams) - w + 1])
-    windows = np.lib.stride_tricks.sliding_window_view(grams, w)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows))) if len(grams) < 4 * w else np.flatnonzero(np.isin(grams, least))
-    return at, grams[at]
+    """Positions and k-word hashes of the minimisers of a text's word hashes, from stretches of ``STRETCH`` windows."""
+    places, found = [], []
+    for start in range(0, len(h) - k - w + 2, STRETCH):
+        grams = _grams(h[start:start + STRETCH + k + w - 2], k)
+        least = grams  # of 1, 2, 4, ... positions, then of w
+        size = 1
+        while 2 * size <= w:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < w:
+            least = np.minimum(least[:len(grams) - w + 1], least[w - size:][:len(grams) - w + 1])
+        if len(grams) < 4 * w:
+            windows = np.lib.stride_tricks.sliding_window_view(grams, w)
+            at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+        else:
+            at = np.flatnonzero(np.isin(grams, least))
+        places.append(at + start)
+        found.append(grams[at])
+    if len(places) < 2:
+        return (places[0], found[0]) if places else (np.empty(0, np.int64), np.empty(0, np.uint64))
+    places, first = np.unique(np.concatenate(places), return_index=True)  # stretches overlap by w - 1 grams
+    return places, np.concatenate(found)[first]
 
 
 def _anchors(k: int, w: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [minimisers(_hashes(t), k, w) for t in part.column(1).to_pylist()]
+            for part in by_bytes(batch, 1, BLOCK):
+                found = [minimisers(_hashes(t), k, w) for t in cells(part.column(1))]
                 ids = np.repeat(np.asarray(part.column(0)), [len(p) for p, _ in found])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()),
-                    pa.array(np.concatenate([p for p, _ in found] or [[]]).astype(np.int64)),
-                    pa.array(np.concatenate([g for _, g in found] or [[]]).astype(np.uint64).view(np.int64))], names=["doc_id", "pos", "anchor"])
+                    pa.array(np.concatenate([p for p, _ in found])),
+                    pa.array(np.concatenate([g for _, g in found]).view(np.int64))], names=["doc_id", "pos", "anchor"])
 
     return run
 
@@ -112,27 +119,39 @@ def _led(grams: np.ndarray, at: np.ndarray, reach: int) -> tuple[list[int], list
     return low.tolist(), high.tolist()
 
 
+def _context_rows(rows: tuple[list, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, CONTEXT_TYPES)], names=["doc_id", "pos", "anchor", "left", "right", "places", "low", "high"])
+
+
 def _contexts(k: int, before: int, after: int):
     """Suffixes with up to ``before`` words before them (backwards) and ``after`` from them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
+            for part in by_bytes(batch, 1, BLOCK, 128):
                 rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for doc_id, text, found in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns)):
+                for doc_id, text, found in zip(part.column(0).to_pylist(), cells(part.column(1)), part.column(2)):
                     h = _hashes(text)
                     raw = (h >> np.uint64(32)).astype(">u4")
                     back, fore, n = raw[::-1].tobytes(), raw.tobytes(), len(raw)
-                    grams = _grams(h, k).astype(np.int64) if n >= k else np.empty(0, np.int64)
+                    grams = _grams(h, k)
                     # of this text, not of another one with its id
-                    found = [p for x in found if (p := x["pos"]) < len(grams) and grams[p] == x["anchor"]]
+                    pos, anchor = np.asarray(found.values.field("pos")), np.asarray(found.values.field("anchor")).view(np.uint64)
+                    inside = pos < len(grams)
+                    pos, anchor = pos[inside], anchor[inside]
+                    pos = pos[grams[pos] == anchor]
                     same: dict[tuple, list[int]] = {}
-                    for p, low, high in zip(found, *_led(grams.view(np.uint64), np.asarray(found, np.int64), before)):
-                        same.setdefault((int(grams[p]), low, high, back[4 * (n - p):4 * (n - p + before)], fore[4 * p:4 * (p + after)]), []).append(p)
+                    for start in range(0, len(pos), CONTEXT_ROWS):
+                        some = pos[start:start + CONTEXT_ROWS]
+                        for p, low, high in zip(some.tolist(), *_led(grams, some, before)):
+                            same.setdefault((int(grams[p].view(np.int64)), low, high, back[4 * (n - p):4 * (n - p + before)], fore[4 * p:4 * (p + after)]), []).append(p)
                     for (anchor, low, high, left, right), places in same.items():
                         for col, v in zip(rows, (doc_id, places[0], anchor, left, right, places, low, high)):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, CONTEXT_TYPES)], names=["doc_id", "pos", "anchor", "left", "right", "places", "low", "high"])
+                        if len(rows[0]) == CONTEXT_ROWS:
+                            yield _context_rows(rows)
+                            rows = ([], [], [], [], [], [], [], [])
+                yield _context_rows(rows)
 
     return run
 
