@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE = "source string, page_no int, sheet string, method string, text string, paragraphs array<string>, header string, footer string"
@@ -43,16 +43,75 @@ def row_line(cells: Column) -> Column:
     return F.array_join(F.filter(F.transform(cells, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^\\s+|\\s+$", "")), lambda c: c != ""), " | ")
 
 
-def sheet_pages(spark: SparkSession, folder: str, suffix: str = "csv", separator: str | None = None, max_columns: int = 256) -> DataFrame:
-    """Each table file below ``folder`` as one page record; its first line is a header and left out.
-
-    Cells beyond ``max_columns`` would be lost, so a file that has them fails the read. A file's lines
-    are put in order by split and place in it; a sheet is one value and must fit a task."""
+def decoded(raw: Column, charset: str) -> Column:
+    """Text of bytes in a single-byte charset, by a table of its upper 128 characters; undefined bytes are left out."""
+    upper = [bytes([i]).decode(charset, "ignore") for i in range(128, 256)]
+    order = sorted(range(128), key=lambda i: upper[i] == "")
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(chr(128 + i) for i in order), "".join(upper))
+
+
+def sheet_lines(spark: SparkSession, folder: str, suffix: str, legacy: str | None) -> DataFrame:
+    """(path, block, at, value): the lines of table files with the split they are in and their order there, without a
+    byte-order mark. Files that are no UTF-8 are read in the charset ``legacy``, or left out without one."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(folder)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    broken = rows.where(~F.is_valid_utf8("value")).select("path").distinct()
+    rows = rows.join(broken.withColumn("broken", F.lit(True)), "path", "left")
+    rows = rows.withColumn("value", F.when(F.col("broken"), decoded(F.col("value").cast("binary"), legacy)).otherwise(F.col("value"))) if legacy else rows.where("broken is null")
+    first = F.lag("at").over(Window.partitionBy("path", "block").orderBy("at")).isNull() & (F.col("block") == 0)
+    return rows.drop("broken").withColumn("value", F.when(first, F.ltrim("value", F.lit("\ufeff"))).otherwise(F.col("value")))
+
+
+def sheet_records(lines: DataFrame, separator: str) -> DataFrame:
+    """(path, block, at, record): lines of which a quoted cell holds the break put together, of any split.
+
+    A quote opens a cell only at the cell's start. So each line keeps, turns round or sets the state "within quotes",
+    and the state before it is that of the last line that sets it, turned round by those after: window functions
+    over a split, and over one row for each split of a file."""
+    sep = f"[{separator}]" if separator != "\t" else "\\t"
+    other = "[^" + sep.strip("[]") + "]"
+    quoted = '(?:[^"]++|"")*+'
+    opened = f'(?:(?:"{quoted}"{other}*+|(?!"){other}*+){sep})*+"{quoted}$'
+    plain = F.col("value").rlike("^" + opened).cast("int")  # within quotes after the line, if not so before
+    within = F.col("value").rlike(f'^{quoted}(?:"{other}*+{sep}{opened}|$)').cast("int")  # if so before
+    rows = lines.withColumn("turns", ((plain == 1) & (within == 0)).cast("int")).withColumn("sets", F.when(plain == within, plain))
+    here = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("turned", F.sum("turns").over(here))
+    rows = rows.withColumn("last", F.last(F.when(F.col("sets").isNotNull(), F.struct("sets", "turned")), True).over(here))
+    blocks = rows.groupBy("path", "block").agg(F.max_by(F.struct("turned", "last"), "at").alias("end"))
+    blocks = blocks.select("path", "block", F.col("end.turned").alias("turned"), F.col("end.last.sets").alias("sets"), (F.col("end.turned") - F.col("end.last.turned")).alias("after"))
+    to_here = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("all", F.sum("turned").over(to_here))
+    blocks = blocks.withColumn("last", F.last(F.when(F.col("sets").isNotNull(), (F.col("sets") + F.col("after") + F.col("all")) % 2), True).over(to_here))
+    state = (F.coalesce("last", F.lit(0)) + F.col("all")) % 2
+    blocks = blocks.select("path", "block", F.lag(state, 1, 0).over(Window.partitionBy("path").orderBy("block")).alias("before"))
+    rows = rows.join(blocks, ["path", "block"])
+    after = F.when(F.col("last").isNull(), F.col("before") + F.col("turned")).otherwise(F.col("last.sets") + F.col("turned") - F.col("last.turned")) % 2
+    rows = rows.withColumn("inside", F.lag(after).over(Window.partitionBy("path", "block").orderBy("at")))
+    rows = rows.withColumn("begins", F.when(F.coalesce("inside", "before") == 0, F.col("at"))).withColumn("start", F.last("begins", True).over(here))
+    starts = rows.groupBy("path", "block").agg(F.max("begins").alias("start"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    open_before = starts.select("path", "block", F.last(F.when(F.col("start").isNotNull(), F.struct("block", "start")), True).over(earlier).alias("open"))
+    rows = rows.join(open_before, ["path", "block"])
+    record = F.when(F.col("start").isNotNull(), F.struct("block", "start")).otherwise(F.col("open")).alias("r")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n")
+    return rows.select("path", record, "block", "at", "value").groupBy("path", "r").agg(text.alias("record")).select("path", "r.block", F.col("r.start").alias("at"), "record")
+
+
+def sheet_pages(spark: SparkSession, folder: str, suffix: str = "csv", separator: str | None = None, max_columns: int = 256, legacy: str | None = "cp874") -> DataFrame:
+    """Each table file below ``folder`` as one page record; its first line that isn't blank is a header and left out.
+
+    Cells may hold line breaks (read as \\n) and doubled quotes; a byte-order mark is dropped; files that are no UTF-8 are read
+    in the single-byte charset ``legacy`` (None: left out). Cells beyond ``max_columns`` would be lost, so a file that has
+    them fails the read. A file's lines are put in order by split and place in it; a sheet is one value and must fit a task."""
+    sep = separator or ("\t" if suffix == "tsv" else ",")
+    rows = sheet_records(sheet_lines(spark, folder, suffix, legacy), sep).where(F.btrim("record") != "")
+    heads = rows.groupBy("path").agg(F.min(F.struct("block", "at")).alias("head"))
+    rows = rows.join(heads, "path").where(F.struct("block", "at") != F.col("head"))
     schema = ", ".join(f"c{i} string" for i in range(max_columns)) + ", _more string"
-    rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", separator or ("\t" if suffix == "tsv" else ","))
-            .option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").csv(folder))
+    rows = rows.select("path", "block", "at", F.from_csv("record", schema, {"sep": sep, "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}).alias("x")).select("path", "block", "at", "x.*")
     line = F.when(F.col("_more").isNotNull(), F.raise_error(F.lit(f"a row has over {max_columns} cells"))).otherwise(row_line(F.array(*[f"c{i}" for i in range(max_columns)])))
-    lines = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), line.alias("line"))
+    lines = rows.select("path", "block", "at", line.alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("block", "at", "line")))), lambda x: x["line"]), "\n")
     pages = lines.groupBy("path").agg(text.alias("text"))
     kept = F.when(F.col("text") != "", F.array("text")).otherwise(F.array().cast("array<string>"))

@@ -1,5 +1,8 @@
 """File sources and sinks, the choice of page texts, boolean queries and the incremental ingest."""
 
+import csv
+import io
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -34,6 +37,30 @@ def test_long_sheet_keeps_its_order(spark, tmp_path):
     assert text.split("\n") == [f"{i} | v" for i in range(5000)]
 
 
+def test_sheets_as_they_are(spark, tmp_path):
+    """Breaks within cells, doubled and stray quotes, a byte-order mark and a legacy charset, in splits of any size, as the csv module has them."""
+    rng = random.Random(4)
+    cell = lambda: rng.choice(["", " ", "a", 'say "x"', '"', 'ends "', "two\nlines", "\n", "p,q", "ไทย", "x" * 50, 'a\n"b",\nc'])
+    files = {f"f{n}.csv": [[cell() for _ in range(4)] for _ in range(rng.randint(0, 60))] for n in range(6)}
+    for n, (name, rows) in enumerate(files.items()):
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([["h", "head\nline", "k", "m"]] + rows)
+        (tmp_path / name).write_bytes(out.getvalue().encode(("utf-8", "utf-8-sig", "cp874")[n % 3]))
+    (tmp_path / "stray.csv").write_text('h,k\n5" pipe,a\nb,6"\n"c\nd",e"f\n')
+    files["stray.csv"] = [['5" pipe', "a"], ["b", '6"'], ["c\nd", 'e"f']]
+    lines = {name: [" | ".join(c.strip() for c in r if c.strip()) for r in rows] for name, rows in files.items()}
+    want = {name: text for name, x in lines.items() if (text := "\n".join(y for y in x if y))}
+    for size in ("128m", "150", "40"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {r.source: r.text for r in S.sheet_pages(spark, str(tmp_path)).where("text <> ''").collect()}
+            strict = {r.source for r in S.sheet_pages(spark, str(tmp_path), legacy=None).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == want
+        assert not strict & {"f2.csv", "f5.csv"}
+
+
 def test_extractor_and_jsonl(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(b"one\x0ctwo")
