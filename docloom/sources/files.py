@@ -40,7 +40,7 @@ def binary_files(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) ->
 
 def row_line(cells: Column) -> Column:
     """A row's cells, stripped, blank ones left out, joined by a bar."""
-    return F.array_join(F.filter(F.transform(cells, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^\\s+|\\s+$", "")), lambda c: c != ""), " | ")
+    return F.array_join(F.filter(F.transform(F.filter(cells, lambda c: c.isNotNull()), lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")), lambda c: c != ""), " | ")
 
 
 def decoded(raw: Column, charset: str) -> Column:
