@@ -96,3 +96,18 @@ def test_keyword_search_by_peaks(spark, tmp_path):
     filled = rows(R.filled_up(every, asked, docs, 10))
     assert len(filled) == 640 and set(want) <= set(filled)
     assert [r for r in filled if r[0] == 101] == [(101, i, 0.0, i + 1) for i in range(10)]
+
+
+def test_few_scores_are_held_at_once(monkeypatch):
+    """A worker's memory is bounded by its block of scores, also while the best aren't known yet."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    scores, best = np.round(rng.normal(size=(2048, 256)), 2), V.Best(256, 5)
+    tracemalloc.start()
+    best.add(scores, np.arange(2048), np.arange(256))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.lexsort((np.broadcast_to(np.arange(2048), (256, 2048)), -scores.T), axis=1)[:, :5]
+    assert (best.id.reshape(256, 5) == want).all()
+    assert peak < 5 * scores.nbytes
