@@ -44,3 +44,11 @@ def test_cleaning_calls_python_for_composing_characters_alone(spark):
 
     df = spark.createDataFrame([("plain\u200btext \u2013 \u201cquoted\u201d",), ("e\u0301",)], "x string")
     assert [r[0] for r in df.select(F.col("x").rlike(T.COMPOSING)).collect()] == [False, True]
+
+
+def test_numbers_a_sign_apart_are_redacted_whole(spark):
+    from docloom.functions import text as T
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("call 12-34-56-78 90-12-34-56-78-90 12-34-56-78.",)], "x string")
+    assert "12" not in df.select(T.redact(F.col("x"))).first()[0]
