@@ -11,7 +11,7 @@ from docloom.functions.text import name_uuid, normalize_text
 from docloom.operators import pages as G
 from docloom.operators import retrieval as R
 from docloom.sources import files as S
-from docloom.operators.pages import alike, page_languages
+from docloom.operators.pages import alike, page_languages, similar
 from docloom.streaming.ingest import ingest
 
 
@@ -144,3 +144,26 @@ def test_alike_equals_the_whole_ratio(spark):
     pairs = [(w, w[: rng.randrange(len(w) + 1)] + word()) for w in (word() for _ in range(300))]
     got = [r[0] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string").orderBy("i").select(alike(F.col("a"), F.col("b"), 0.6)).collect()]
     assert got == [SequenceMatcher(None, a, b).ratio() >= 0.6 for a, b in pairs]
+
+
+def test_similar_is_the_ratio_and_takes_long_texts():
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    for alphabet in ("ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,\n", "".join(map(chr, range(3585, 3631))) + "".join(map(chr, range(300, 420)))):
+        weights = [rng.random() ** 3 + 0.001 for _ in alphabet]
+        for size in (30, 250, 900, 1500):
+            a = "".join(rng.choices(alphabet, weights, k=size))
+            b = list(a)
+            for _ in range(size // 20):
+                at = rng.randrange(len(b))
+                b[at:at + rng.randrange(8)] = rng.choices(alphabet, weights, k=rng.randrange(8))
+            b = "".join(b) + "#"
+            ratio = SequenceMatcher(None, a, b).ratio()
+            assert similar(a, b, ratio) and not similar(a, b, ratio + 1e-9)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz .,\n", [1, *range(1, 30)], k=60_000))
+    started = time.monotonic()
+    similar(text.replace("z", "#"), text, 0.9)
+    assert time.monotonic() - started < 5
