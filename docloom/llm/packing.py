@@ -35,11 +35,12 @@ SCHEMA = T.StructType([
     T.StructField("sequence_id", T.LongType()),
     T.StructField("offset", T.LongType()),
 ])
-WORD_CACHE = 600_000
+#: Words and bytes of ids that a worker's encoder holds at most before it starts anew; some 150 bytes a word.
+WORD_CACHE = 300_000
 #: Strings in a text at which white space does not tell where pre-tokens end.
 APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Bytes of text that a worker encodes at once.
-STRETCH = 8_000_000
+STRETCH = 2_000_000
 
 
 class WordEncoder:
@@ -104,10 +105,12 @@ class WordEncoder:
         new = [c for c in names if c not in self.places]
         if new:
             self.learn(new)
-        at = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.places.__getitem__, names), np.int32, len(names))[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        from_ = np.repeat((self.starts[at] - ends[:-1]).astype(np.int32), lengths)
+        from_ += np.arange(len(from_), dtype=np.int32)
+        ids = self.pool[from_]
         bounds = ends[chunks.offsets.to_numpy()].tolist()
         for i, a, z in zip(plain, bounds, bounds[1:]):
             out[i] = ids[a:z]
@@ -132,7 +135,7 @@ class Packer:
         for a in range(0, cut, w):
             self.close([(doc_id, a, ids[a:a + w], n)])
         if cut < n:
-            self.place((doc_id, cut, ids[cut:], n))
+            self.place((doc_id, cut, ids[cut:].copy(), n))  # an open window holds no long document
 
     def place(self, piece: tuple) -> None:
         s, w, counts = len(piece[2]), self.window, self.counts

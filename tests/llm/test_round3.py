@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import filter_audit, quality_mil, repair
+from docloom.llm import decontam, filter_audit, packing, quality_mil, repair
 from docloom.llm.common import work_dir
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+").findall
@@ -218,3 +218,19 @@ def test_training_without_two_kinds_of_labels(spark, n):
     docs = spark.createDataFrame([(i, "text") for i in range(5)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
     assert quality_mil.train(docs, labels).weights is None
+
+
+def test_packing_open_windows_hold_no_long_document():
+    packer = packing.Packer(8, 0, 4)
+    packer.add(1, np.arange(100, dtype="<u4"))
+    (piece,) = packer.open[4][0]
+    assert piece[2].base is None and piece[2].tolist() == [96, 97, 98, 99]
+
+
+def test_dense_templates_are_those_with_a_window_poor_in_literals():
+    rng, pattern = random.Random(5), re.compile(decontam.slot_runs(6, 2))
+    for _ in range(3000):
+        words = [rng.choice(["a", "bc", "\x03", "\x03" + "7", "\x02x", "\x05y", "d"]) for _ in range(rng.randrange(0, 14))]
+        poor = any(sum(w[0] not in "\x01\x02\x03\x05" for w in words[i:i + 6]) <= 2 for i in range(len(words) - 5))
+        found = pattern.search(" " + (" " * rng.randrange(1, 3)).join(words)) is not None
+        assert found or not poor
