@@ -82,6 +82,19 @@ def reading(plain: Column, named: Column, mask: Column, n: int) -> Column:
     return F.array(*[F.get(F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, named).otherwise(plain), F.lit(i)) for i in range(n)])
 
 
+def slot_runs(n: int, most_literals: int) -> str:
+    """A pattern for templates, after a space, that have a window of ``n`` words of which at most ``most_literals`` are no placeholders
+    (words that may be names counted as such). Each word allows one branch only, so a start costs ``n`` words at most."""
+    rest = [""] * (most_literals + 1)
+    for left in range(max(1, n - most_literals)):  # from the last placeholder to the first; rest[m]: m literals are left
+        longer: list[str] = []
+        for m in range(most_literals + 1):
+            literal = f"| +[^ \x01\x02\x03\x05][^ ]*{longer[m - 1]}" if m and left < n - most_literals - 1 else ""
+            longer.append(f"(?: +[\x01\x02\x03\x05][^ ]*{rest[m]}{literal})")
+        rest = longer
+    return rest[-1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride: int = 4, min_run: int = 13, min_literals: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, at_word, run_words, item_words)``: each contaminated document with each item
     found in it, at the place of the longest run (of equals, the first).
@@ -123,16 +136,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     if poor.limit(1).count():
         rich = written(texts.select("doc_id", "t").where(rich_in_slots(width)), f"{base}/rich")
         rich = rich.select("doc_id", "t", canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
-        raw = rich.select("doc_id", words_of(F.col("t")).alias("words"), "canon")
-        raw = raw.select("doc_id", "words", places(width, stride)).select("doc_id", "a", plainly(F.slice("words", F.col("a"), width), width).alias("h"))
+        raw = rich.select("doc_id", words_of(F.col("t")).alias("canon")).select("doc_id", "canon", places(width, stride))
+        raw = raw.select("doc_id", "a", plainly(F.slice("canon", F.col("a"), width), width).alias("h"))
         met_poor = raw.join(F.broadcast(poor) if small else poor, "h").select("doc_id", "item_id", (F.col("a") - F.col("b")).alias("shift"))
-        # and, with other values, by whole runs with literals enough: all that is compared of a short item, else min_run words
+        # and, with other values, by whole runs with literals enough: all that is compared of a short item, else min_run words.
+        # Such a run holds one of the document's windows whole, so that without a poor window it has met already
         mixed = long_items.join(poor.select("item_id").distinct(), "item_id", "left_semi")
+        dense = rich.where(F.concat(F.lit(" "), F.col("t")).rlike(slot_runs(width, most_literals)))
         for n in [r[0] for r in mixed.select(F.least(F.size("canon"), F.lit(min_run)).alias("n")).distinct().collect()]:
             runs = mixed.where(F.least(F.size("canon"), F.lit(min_run)) == n).select("item_id", "canon", "named", F.explode(F.sequence(F.lit(1), F.size("canon") - n + 1)).alias("b"))
             both = lambda c: F.explode(F.array(F.slice("canon", c, n), F.slice("named", c, n))).alias("w")
             runs = runs.select("item_id", "b", both(F.col("b"))).where(literals("w") >= min_literals).select("item_id", "b", F.xxhash64("w").alias("h")).distinct()
-            wide = rich.select("doc_id", "canon", "named", places(n, 1)).select("doc_id", "a", both(F.col("a"))).select("doc_id", "a", F.xxhash64("w").alias("h"))
+            wide = dense.select("doc_id", "canon", "named", places(n, 1)).select("doc_id", "a", both(F.col("a"))).select("doc_id", "a", F.xxhash64("w").alias("h"))
             met_poor = met_poor.unionByName(wide.join(F.broadcast(runs) if small else runs, "h").select("doc_id", "item_id", (F.col("a") - F.col("b")).alias("shift")))
         met_poor = written(met_poor.distinct(), f"{base}/met-poor")
         if met_poor.count() <= BROADCAST_WINDOWS:
