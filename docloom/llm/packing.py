@@ -35,7 +35,7 @@ SCHEMA = T.StructType([
     T.StructField("sequence_id", T.LongType()),
     T.StructField("offset", T.LongType()),
 ])
-#: Words and bytes of ids that a worker's encoder holds at most before it starts anew; some 150 bytes a word.
+#: Words (and 16 times as many ids) beyond which a worker's encoder starts anew.
 WORD_CACHE = 300_000
 #: Strings in a text at which white space does not tell where pre-tokens end.
 APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
