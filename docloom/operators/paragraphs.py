@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.functions.text import SENTENCE_END, is_bullet, is_heading
+from docloom.functions.text import SENTENCE_END, is_bullet, is_heading, strip_ascii
 from docloom.sources.scratch import scratch
 
 #: Fixed value: the letter that also ends a sentence in the batch script.
@@ -22,7 +22,7 @@ BATCH_END = "ฮ"
 
 def tagged(paras: DataFrame) -> DataFrame:
     """Non-blank paragraphs, stripped, with heading and bullet flags."""
-    rows = paras.withColumn("text", F.regexp_replace("text", "^\\s+|\\s+$", "")).where("text <> ''")
+    rows = paras.withColumn("text", strip_ascii(F.col("text"))).where("text <> ''")
     return rows.withColumn("is_heading", is_heading(F.col("text"))).withColumn("is_bullet", is_bullet(F.col("text")))
 
 
@@ -55,10 +55,11 @@ def headers_footers(pages: DataFrame) -> DataFrame:
 def strip_headers_footers(pages: DataFrame, window: int = 4) -> DataFrame:
     """Blanks the first header in the first ``window`` lines and the last footer in the last ones."""
     known = headers_footers(pages).groupBy("source").agg(F.collect_set(F.when(F.col("side") == "header", F.col("line"))).alias("hs"), F.collect_set(F.when(F.col("side") == "footer", F.col("line"))).alias("fs"))
-    rows = pages.join(known, "source", "left").withColumn("l", F.split("text", "\n")).withColumn("i", F.sequence(F.lit(0), F.size("l") - 1))
+    rows = pages.join(known, "source", "left").withColumn("l", F.when(F.col("hs").isNotNull(), F.split("text", "\n"))).withColumn("i", F.when(F.col("l").isNotNull(), F.sequence(F.lit(0), F.size("l") - 1)))
     at = lambda i: F.trim(F.get("l", i))
     rows = rows.withColumn("h", F.array_min(F.filter("i", lambda i: (i < window) & F.array_contains("hs", at(i))))).withColumn("f", F.array_max(F.filter("i", lambda i: (i >= F.size("l") - window) & F.array_contains("fs", at(i)))))
-    body = F.array_join(F.transform("l", lambda x, i: F.when((i == F.coalesce("h", F.lit(-1))) | (i == F.coalesce("f", F.lit(-1))), "").otherwise(x)), "\n")
+    # without lines known of its source a text is as it was
+    body = F.when(F.col("hs").isNull(), F.col("text")).otherwise(F.array_join(F.transform("l", lambda x, i: F.when((i == F.coalesce("h", F.lit(-1))) | (i == F.coalesce("f", F.lit(-1))), "").otherwise(x)), "\n"))
     return rows.select("source", "page_no", body.alias("body"), F.trim(F.get("l", F.col("h"))).alias("header"), F.trim(F.get("l", F.col("f"))).alias("footer"))
 
 
