@@ -51,19 +51,31 @@ def template(text: Column) -> Column:
     t = F.regexp_replace(text, "[\x01\x02\x03\x05]", " ")
     # names: a capital letter then small ones, not at the start of the text, a line or a sentence
     t = F.regexp_replace(t, r"(\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+)(?![\p{L}\p{N}])", "\x05$1")
-    t = F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )\x05", "\x02"))
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", " \x03$1 ")
+    t = F.lower(F.regexp_replace(t, r"\x05(?<=[\p{L}\p{N},;] \x05)", "\x02"))  # what is rare first: a look behind at every letter costs more
+    t = F.regexp_replace(t, r"(?=\p{N})(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", " \x03$1 ")
     t = F.regexp_replace(t, r"(\x03[^ ]+ [ -]?)\x05?(" + "|".join(UNITS.split()) + r"|%)(?![\p{L}\p{N}])", "$1 \x01$2 ")
-    return F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}\x01\x02\x03\x05%]+|(?<!\x01)%", " "))
+    other = r"[^\p{L}\p{N}\x01\x02\x03\x05%]"  # a single space stays, unmatched
+    return F.btrim(F.regexp_replace(t, f"{other}(?:{other}++|(?<! ))|%(?<!\x01%)", " "))
 
 
 def words_of(t: Column) -> Column:
     return F.when(F.coalesce(F.length(t), F.lit(0)) > 0, F.split(t, " +"))
 
 
-def canonical(t: Column, opens: str = "") -> Column:
-    """A template's words with each slot's value taken away; words that may be names stay, or become names by ``opens``."""
-    return words_of(F.regexp_replace(F.translate(t, "\x05", opens), "([\x01\x02\x03])[^ ]*", "$1"))
+def bare_slots(t: Column) -> Column:
+    """A template without its slots' values."""
+    return F.regexp_replace(t, "([\x01\x02\x03])[^ ]*", "$1")
+
+
+def read_bare(t: Column) -> tuple[Column, Column]:
+    """The words of a template without slots' values (``bare_slots``), where those that may be names are words, and where they are names."""
+    some = F.length(t) > 0
+    return F.when(some, F.split(F.replace(t, F.lit("\x05"), F.lit("")), " +")).alias("canon"), F.when(some, F.split(F.regexp_replace(t, "\x05[^ ]*", "\x02"), " +")).alias("named")
+
+
+def canonical(templates: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` of ``templates(t, ...)`` with ``canon`` and ``named``, the words in both readings; each step is made once."""
+    return templates.select(*keep, bare_slots(F.col("t")).alias("_bare")).select(*keep, *read_bare(F.col("_bare")))
 
 
 def opened(words: Column, canon: Column, at: Column, n: Column) -> Column:
@@ -106,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
         raise ValueError("min_run must be at least width + stride - 1")
     literals = lambda a: F.size(F.filter(a, lambda w: ~F.substring(w, 1, 1).isin("\x01", "\x02", "\x03")))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), template(F.col(item_text)).alias("t"))
-    items = items.select("item_id", words_of(F.col("t")).alias("item"), canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
+    items = items.select("item_id", words_of(F.col("t")).alias("item"), bare_slots(F.col("t")).alias("bare")).select("item_id", "item", *read_bare(F.col("bare")))
     items = written(items.where("item is not null").dropDuplicates(), f"{base}/items")
     long_items, short_items = items.where(F.size("canon") >= width + stride - 1), items.where(F.size("canon") < width + stride - 1)
 
@@ -121,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), template(F.col(text_col)).alias("t"))
     texts = written(texts, f"{base}/templates")
     # no function with a lambda up to the join: the template stays in place while its windows pass
-    texts = texts.select("doc_id", "t", canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
+    texts = canonical(texts, "doc_id", "t")
     places = lambda n, step: F.explode(F.when(F.size("canon") >= n, F.sequence(F.lit(1), F.size("canon") - n + 1, F.lit(step)))).alias("a")
     cut = texts.select("doc_id", "t", "canon", "named", places(width, stride)).select("doc_id", "t", "a", F.slice("canon", F.col("a"), width).alias("plain"), F.slice("named", F.col("a"), width).alias("other"))
     cut = readings(cut, width, "doc_id", "t", "a").select("doc_id", "t", "a", F.xxhash64("w").alias("h"))
@@ -135,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride:
     met_poor = None
     if poor.limit(1).count():
         rich = written(texts.select("doc_id", "t").where(rich_in_slots(width)), f"{base}/rich")
-        rich = rich.select("doc_id", "t", canonical(F.col("t")).alias("canon"), canonical(F.col("t"), "\x02").alias("named"))
+        rich = canonical(rich, "doc_id", "t")
         raw = rich.select("doc_id", words_of(F.col("t")).alias("canon")).select("doc_id", "canon", places(width, stride))
         raw = raw.select("doc_id", "a", plainly(F.slice("canon", F.col("a"), width), width).alias("h"))
         met_poor = raw.join(F.broadcast(poor) if small else poor, "h").select("doc_id", "item_id", (F.col("a") - F.col("b")).alias("shift"))
