@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from docloom.llm.common import crc_mod
+from docloom.llm.common import by_bytes, crc_mod
 
 MARK = "▁"
 #: Up to so many letters the product of probabilities stays within a double's range.
@@ -43,7 +43,8 @@ LONGEST = 28
 SPREADS, DRIFT = 8.0, 0.5
 UNKNOWN = 1e-7
 FACTOR = np.uint64(1099511628211)
-WORD_CACHE = 400_000
+#: Words beyond which a worker's scores start anew, words that one forward pass takes at once, and bytes of text that a worker splits at once.
+WORD_CACHE, AT_ONCE, STRETCH = 100_000, 4_000, 1_000_000
 _letters = re.compile(r"[^\W\d_]+").findall
 _only_letters = regex.compile(r"\p{L}+").findall
 
@@ -71,12 +72,12 @@ class PieceModel:
     def __getstate__(self):
         return self.__dict__ | {"index": {}, "scores": None}
 
-    def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
-        """For the words of each length: their places, and by piece length the piece starting at each position."""
+    def lattice(self, words: list[str], at_once: int = 20_000) -> Iterator[tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
+        """For the words of each length, ``at_once`` at a time: their places, and by piece length the piece starting at each position."""
         none, unknown = len(self.probs) - 2, len(self.probs) - 1
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         for n in np.unique(lengths):
-            for at in np.array_split(places := np.flatnonzero(lengths == n), len(places) // 20_000 + 1):
+            for at in np.array_split(places := np.flatnonzero(lengths == n), len(places) // at_once + 1):
                 text = "".join([MARK + words[i] for i in at])
                 codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(len(at), n + 1).astype(np.uint64)
                 h, found = np.zeros_like(codes), []
@@ -105,7 +106,7 @@ class PieceModel:
         out = np.empty((len(words), self.probs.shape[1]))
         short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
         some = [words[i] for i in short]
-        for at, found in self.lattice(some):
+        for at, found in self.lattice(some, AT_ONCE):
             out[np.asarray(short)[at]] = np.log(np.maximum(self.forward(found[0][1].shape[1], found, len(at))[-1], 1e-300))
         for i, w in enumerate(words):
             if len(w) > LONGEST:
@@ -244,14 +245,15 @@ def identify(docs: DataFrame, model: PieceModel, text_col: str = "text", keep: l
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "typical")]
     shape = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("typical", T.BooleanType())])
 
+    at = kept.index(text_col) if text_col in kept else len(kept)  # a text is sent to the worker once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                names, score, typical = model.texts(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(typical, pa.bool_())], names=shape.names)
+            for part in by_bytes(batch, at, STRETCH, 2000):
+                names, score, typical = model.texts(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(typical, pa.bool_())], names=shape.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text")).mapInArrow(run, shape)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], *[F.col(text_col).alias("__text")] * (at == len(kept))).mapInArrow(run, shape)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
