@@ -15,8 +15,9 @@ code-point spans of the assistant texts in the formatted conversation.
 Null texts and roles are empty. Messages whose parent is missing are roots. Rows with a null
 conversation id form one conversation of id null. Ties of rank go to the smaller leaf. Messages in or
 below a cycle reach no root and are left out. Repeated rows of a plain conversation are turns of their own.
-In a plain conversation each turn replies to the one before it: stretches of it that a task holds in order are
-contracted to one message before the self-joins, and its texts are shuffled once, whatever its depth.
+In a plain conversation each turn replies to the one before it. The self-joins climb over all its turns; its one leaf's
+path holds every turn, at the depth that they give, so that each round's table goes with the next, and its texts
+are shuffled once, whatever its depth.
 A conversation is one row, so that it must fit into one; very long texts are whole. Other columns, whatever
 their names, are ignored. An empty table gives an empty result.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docloom.llm.common import finished, table, work_dir, written
+from docloom.llm.common import finished, remove, table, work_dir, written
 
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("[", "&#91;"))
 ROLE_ENTITIES = ((" ", "&#32;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;"))
@@ -51,22 +52,34 @@ def climb(messages: DataFrame, work: str) -> tuple[DataFrame, list[DataFrame]]:
     rows = messages.select("tree", "id", "parent", "score")
     known = rows.select(F.col("tree").alias("t"), F.col("id").alias("p")).distinct()
     now = rows.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
-    # depth and total are of the chain down to the message, whose top has `up` above it
-    now = written(now.select("tree", "id", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total")), f"{work}/0")
+    now, rounds = doubled(now.select("tree", "id", F.col("p").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total")), work)
     parents = rows.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    rounds, left = [], now.where("up is not null").count()
+    ends = now.where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("p")), "left_anti")
+    return ends.select("tree", F.col("id").alias("leaf"), "depth", F.col("total").alias("score")), rounds
+
+
+def doubled(now: DataFrame, work: str, keep: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """``now(tree, id, up, total, ...)`` with ``depth``, and with the sum of ``total`` from the root, after the last of
+    the self-joins; and, if they are to be kept, each round's pointers. ``up`` stays where there is no root."""
+    # depth and total are of the chain down to the message, whose top has `up` above it
+    carried = [c for c in now.columns if c not in ("tree", "id", "up", "total")]
+    now = written(now.select("tree", "id", "up", F.lit(1).cast("long").alias("depth"), "total", *carried), f"{work}/0")
+    rounds, left, n = [], now.where("up is not null").count(), 0
     while left:
         opened = now.where("up is not null")
-        rounds.append(opened.select("tree", "id", "up"))
+        if keep:
+            rounds.append(opened.select("tree", "id", "up"))
         above = now.select(F.col("tree").alias("t"), F.col("id").alias("a"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
         step = opened.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("a")))
-        step = step.select("tree", "id", F.col("up2").alias("up"), (F.col("depth2") + F.col("depth")).alias("depth"), (F.col("total2") + F.col("total")).alias("total"))
-        now = written(now.where("up is null").unionByName(step), f"{work}/{len(rounds)}")
+        step = step.select("tree", "id", F.col("up2").alias("up"), (F.col("depth2") + F.col("depth")).alias("depth"), (F.col("total2") + F.col("total")).alias("total"), *carried)
+        n += 1
+        now = written(now.where("up is null").unionByName(step), f"{work}/{n}")
+        if not keep:
+            remove(now.sparkSession, f"{work}/{n - 1}")
         before, left = left, now.where("up is not null").count()
         if left == before:  # while a path is open, one of each smaller depth ends in every round: these are cycles
             break
-    ends = now.where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("p")), "left_anti")
-    return ends.select("tree", F.col("id").alias("leaf"), "depth", F.col("total").alias("score")), rounds
+    return now, rounds
 
 
 def trace(leaves: DataFrame, rounds: list[DataFrame]) -> DataFrame:
@@ -130,16 +143,18 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 
 def chain(turns: DataFrame, work: str) -> DataFrame:
-    """``(tree, id, parent, score, first, last)``: the reply chains of plain conversations, contracted to their stretches.
+    """``(tree, id, parent, at)``: the reply chains of plain conversations, a message for each turn.
 
     Each turn of ``turns(tree, at)`` replies to the one before it, nulls first. The sort is over all turns, so that a
-    conversation of any length is spread over many tasks; its turns within one task are a stretch without a
-    branch, one message of the tree that the self-joins climb. Texts take no part."""
+    conversation of any length is spread over many tasks; ids ascend in a conversation. Texts take no part."""
     rows = turns.select("tree", "at").distinct().orderBy(F.asc_nulls_first("tree"), F.asc_nulls_first("at"))
     rows = written(rows.select("tree", "at", F.monotonically_increasing_id().alias("id")), f"{work}/sorted")
-    parts = rows.groupBy("tree", F.shiftright("id", 33).alias("part")).agg(F.min("id").alias("id"), F.min_by("at", "id").alias("first"), F.max_by("at", "id").alias("last"))
-    above = F.lag("id").over(W.partitionBy("tree").orderBy("part"))  # a row for each task that a conversation reaches into
-    return written(parts.select("tree", "id", above.alias("parent"), F.lit(0.0).alias("score"), "first", "last"), f"{work}/messages")
+    # ids count on inside a partition, so only a conversation's first turn of each partition needs to look for its parent:
+    # the window holds a row for each partition that a conversation reaches into
+    parts = rows.groupBy("tree", F.shiftright("id", 33).alias("part")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    above = F.lag("last").over(W.partitionBy("tree").orderBy("part"))
+    linked = rows.join(parts.select("first", above.alias("above")), F.col("id") == F.col("first"), "left")
+    return linked.select("tree", "id", F.when(F.col("first").isNull(), F.col("id") - 1).otherwise(F.col("above")).alias("parent"), "at")
 
 
 def plain_conversations(conversations: DataFrame, work: str, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
@@ -148,16 +163,15 @@ def plain_conversations(conversations: DataFrame, work: str, conv_col: str = "co
     Rows are ordered by turn, nulls first, then role and text; rows of one turn are one message of the chain, and
     repeated rows stay turns of their own. The texts are read at the end only and shuffled once, to their conversation."""
     rows = conversations.select(F.col(conv_col).cast("long").alias("tree"), F.col(turn_col).alias("at"), "role", "text")
-    stretches = chain(rows, work)
-    leaves, rounds = climb(stretches, f"{work}/rounds")
-    paths_ = trace(best_paths(leaves), rounds).select("tree", F.posexplode("path").alias("pos", "id"))
-    chosen = paths_.join(stretches.select("id", "first", "last"), "id")
-    # a null id is a flag of its own, so that the keys of the join are those by which the texts lie and are grouped
-    keyed = lambda df: df.withColumn("none", F.col("tree").isNull()).withColumn("tree", F.coalesce("tree", F.lit(0)))
-    said = keyed(rows).repartition("tree", "none")
-    inside = (F.struct("at") >= F.struct("first")) & (F.struct("at") <= F.struct("last"))
-    turns = said.join(keyed(chosen.select("tree", "pos", "first", "last")), ["tree", "none"]).where(inside)
-    done = joined_turns(turns.select("tree", "none", "pos", "at", "role", "text"), ["tree", "none"], ["pos", "at", "role", "text"])
+    messages = chain(rows, work).select("tree", "id", F.col("parent").alias("up"), F.lit(0.0).alias("total"), "at")
+    known, _ = doubled(messages, f"{work}/rounds", keep=False)
+    remove(known.sparkSession, f"{work}/sorted")
+    # a message's place in the path of its conversation's only leaf goes the texts' way and is handed to the rows of its turn
+    places = known.select("tree", "at", F.col("depth").alias("place"))
+    both = rows.unionByName(places, allowMissingColumns=True).withColumn("none", F.col("tree").isNull()).withColumn("tree", F.coalesce("tree", F.lit(0)))
+    turn = W.partitionBy("tree", "none", "at").orderBy(F.desc_nulls_last("place")).rowsBetween(W.unboundedPreceding, 0)
+    turns = both.repartition("tree", "none").withColumn("pos", F.first("place").over(turn)).where("place is null")
+    done = joined_turns(turns.select("tree", "none", "pos", "role", "text"), ["tree", "none"], ["pos", "role", "text"])
     return done.select(F.when(~F.col("none"), F.col("tree")).alias("tree"), "n_turns", "text", "loss")
 
 
